@@ -28,6 +28,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -64,6 +70,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_token_counts": op3_token_counts,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_source_mixing": op6_source_mixing,
     "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,
