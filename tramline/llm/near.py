@@ -32,6 +32,8 @@ WIDTH = 48
 BRANCHES = 2
 #: Rows of a bucket that are compared at once, splits of a bucket, and rows of a block of what stays large.
 LIMIT, DEPTH, BLOCK = 256, 3, 512
+#: A bucket is not split where this part of it, or more, would go on together.
+TOGETHER = 0.5
 #: Chance that a pair of the least similarity is missed by all runs.
 MISS = 1e-4
 
@@ -99,16 +101,23 @@ def leaves(nodes: DataFrame, runs: int) -> DataFrame:
     for level in range(DEPTH + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
         rows = stored(rows.join(sizes, "path"), "paths")
-        small = rows if level == DEPTH else rows.where(F.col("size") <= LIMIT)
-        small = small.select(F.col("path").alias("leaf"), "node", "size")
-        found = small if found is None else found.unionByName(small)
+        closed = rows if level == DEPTH else rows.where(F.col("size") <= LIMIT)
         rows = rows.where(F.col("size") > LIMIT)
-        if level == DEPTH or rows.isEmpty():
+        more = level < DEPTH and not rows.isEmpty()
+        if more:
+            first = F.pmod(F.xxhash64("path", F.lit(level)), F.lit(spare))
+            second = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit(-1 - level)), F.lit(spare - 1)), F.lit(spare))
+            children = rows.withColumn("c", F.explode(F.array(first, second))).withColumn("c", (F.col("c") + runs).cast("int"))
+            children = stored(children.select("node", "signature", F.col("path").alias("parent"), "size", F.xxhash64("path", "c", value_at(F.col("c"))).alias("path")), "paths")
+            # A bucket of near copies goes on together whichever coordinate is drawn: it is compared whole instead.
+            largest = children.groupBy("parent", "size", "path").agg(F.count("*").alias("part")).groupBy("parent", "size").agg(F.max("part").alias("part"))
+            whole = largest.where(F.col("part") > F.col("size") * TOGETHER).select(F.col("parent").alias("path"))
+            closed = closed.unionByName(rows.join(whole, "path", "left_semi").select(*closed.columns))
+            rows = children.join(whole.withColumnRenamed("path", "parent"), "parent", "left_anti").select("node", "signature", "path")
+        closed = closed.select(F.col("path").alias("leaf"), "node", "size")
+        found = closed if found is None else found.unionByName(closed)
+        if not more:
             break
-        first = F.pmod(F.xxhash64("path", F.lit(level)), F.lit(spare))
-        second = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit(-1 - level)), F.lit(spare - 1)), F.lit(spare))
-        rows = rows.select("node", "signature", "path", F.explode(F.array(first, second)).alias("c")).withColumn("c", (F.col("c") + runs).cast("int"))
-        rows = rows.select("node", "signature", F.xxhash64("path", "c", value_at(F.col("c"))).alias("path"))
     return found
 
 
