@@ -46,7 +46,7 @@ def draw(id_col: str, seed: int) -> Column:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """How often the mix repeats each document: id, size, source_size, target, repeats, taken, and the columns of keep.
+    """How often the mix repeats each document: id, size, source_size, target, repeats, taken, and the columns of keep (kept with each row: keys, not texts).
 
     Each document is taken floor(target / source size) times whole. What is left of the target goes to the source's documents in
     the order of a seeded hash, whole, until their sizes reach it. The order is cut in slices by the hash's first digits;
@@ -55,8 +55,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), m
     base = docs.select(
         F.col(id_col), F.col(source_col).alias("source"), word_count(text_col).alias("size"), draw(id_col, seed).alias("u"), F.xxhash64(text_col).alias("tie"), *[F.col(c).alias(f"kept_{c}") for c in keep]
     ).withColumn("slice", F.substring("u", 1, SLICE_DIGITS))
-    if not keep:
-        base = stored(base, "mix")
+    base = stored(base, "mix")
     slices = stored(base.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")), "mix-slices")
     targets = water_fill(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, max_epochs)
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(0)).withColumn(
