@@ -52,8 +52,8 @@ def _get(df: DataFrame, name: str) -> Column:
 
 def _attributes(df: DataFrame, names: dict[str, str]) -> Column:
     """Those attributes that have a value."""
-    pairs = F.array(*[F.struct(F.lit(k), _get(df, c)) for k, c in names.items()])
-    return F.map_from_entries(F.filter(pairs, lambda p: p["col2"].isNotNull() & (p["col2"] != "")))
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), _get(df, c).alias("v")) for k, c in names.items()])
+    return F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull() & (p["v"] != "")))
 
 
 def id_prefix(agency: DataFrame) -> str:

@@ -61,8 +61,9 @@ def rejects(parsed: DataFrame) -> DataFrame:
 
 def trips_of(parsed: DataFrame) -> DataFrame:
     """One trip for each trip uri, without operator; attributes headsign, trip, route."""
-    pairs = F.array(F.struct(F.lit("headsign"), "headsign"), F.struct(F.lit("trip"), F.col("trip_id")), F.struct(F.lit("route"), "route"))
-    rows = parsed.where("ok").select("trip_id", F.lit(None).cast("string").alias("operator_id"), F.map_from_entries(F.filter(pairs, lambda p: p["headsign"].isNotNull())).alias("attributes"), "conn_id")
+    pair = lambda k, c: F.struct(F.lit(k).alias("k"), F.col(c).alias("v"))
+    pairs = F.array(pair("headsign", "headsign"), pair("trip", "trip_id"), pair("route", "route"))
+    rows = parsed.where("ok").select("trip_id", F.lit(None).cast("string").alias("operator_id"), F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull())).alias("attributes"), "conn_id")
     order = Window.partitionBy("trip_id").orderBy("conn_id")
     return rows.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth", "conn_id")
 

@@ -27,7 +27,7 @@ def read_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _tags(column: str = "tag") -> Column:
-    return F.map_from_entries(F.coalesce(F.transform(column, lambda t: F.struct(t["_k"], t["_v"])), F.expr("cast(array() as array<struct<a:string,b:string>>)")))
+    return F.map_from_entries(F.coalesce(F.col(column), F.expr(f"cast(array() as {TAGS})")))
 
 
 def routes(relations: DataFrame) -> DataFrame:

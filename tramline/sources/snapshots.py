@@ -29,7 +29,8 @@ def write(snap: Snapshot, path: str) -> None:
 
 
 def read(spark: SparkSession, path: str) -> Snapshot:
-    tables = {n: spark.read.schema(s).parquet(f"{path}/{n}") for n, s in SCHEMAS.items()}
+    columns = {n: [c.split()[0] for c in s.replace("map<string,string>", "map").split(", ")] for n, s in SCHEMAS.items()}
+    tables = {n: spark.read.schema(s).parquet(f"{path}/{n}").select(*columns[n]) for n, s in SCHEMAS.items()}
     meta = json.loads(_read_text(spark, f"{path}/meta.json"))
     return Snapshot(**tables, global_id=meta["global_id"], meta=meta["meta"])
 
