@@ -28,7 +28,7 @@ from .kernels import U, merged_runs, span_hashes, text_pieces
 
 LENGTH, GRAM = 400, 32
 #: Bytes of contexts in a shard.
-SHARD = 2 << 20
+SHARD = 1 << 20
 #: Low bits that hold a gram's place while the least hash is sought; equal hashes yield the first.
 PLACE = 31
 
@@ -119,8 +119,18 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return sa, rank, packed, left
 
 
+def leading_zero_bytes(x: np.ndarray) -> np.ndarray:
+    """Of numbers other than 0."""
+    out = np.zeros(len(x), np.int64)
+    for bits in (32, 16, 8):
+        zero = x >> U(64 - bits) == 0
+        out += np.where(zero, bits // 8, 0)
+        x = np.where(zero, x << U(bits), x)
+    return out
+
+
 def common_prefixes(sa: np.ndarray, packed: np.ndarray, left: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
-    """For each position the length it shares with the suffix before it, up to most. Kasai's pass: along a part the length falls by one at most.
+    """For the first sizes positions from each start the length shared with the suffix before, up to most. Kasai's pass: along a part the length falls by one at most.
 
     All parts take their steps together, and compare eight bytes at a time.
     """
@@ -143,11 +153,12 @@ def common_prefixes(sa: np.ndarray, packed: np.ndarray, left: np.ndarray, starts
         go = np.flatnonzero(own < top)
         while len(go):
             x = packed[i[go] + own[go]] ^ packed[j[go] + own[go]]
-            same = np.full(len(go), 8)
-            for k in range(8):
-                same[(x >> U(56 - 8 * k) != 0) & (same == 8)] = k
-            own[go] = np.minimum(own[go] + same, top[go])
-            go = go[(same == 8) & (own[go] < top[go])]
+            differ = x != 0
+            ends = go[differ]
+            own[ends] = np.minimum(own[ends] + leading_zero_bytes(x[differ]), top[ends])
+            go = go[~differ]
+            own[go] = np.minimum(own[go] + 8, top[go])
+            go = go[own[go] < top[go]]
         out[i] = own
         length[:live] = own
     return out
@@ -159,7 +170,8 @@ def repeated_windows(parts: list[bytes], windows: np.ndarray, length: int = LENG
     sizes = np.array([len(p) for p in parts], np.int64)
     ends = np.cumsum(sizes)
     sa, _, packed, left = suffix_array(data, ends)
-    shared = common_prefixes(sa, packed, left, ends - sizes, sizes, length)
+    # Only windows can share so much; they are the first positions of their part.
+    shared = common_prefixes(sa, packed, left, ends - sizes, np.asarray(windows, np.int64), length)
     repeated = np.zeros(len(data), bool)
     hit = np.flatnonzero(shared[sa[1:]] >= length) + 1
     repeated[sa[hit]] = True
