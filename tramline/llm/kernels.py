@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 U = np.uint64
 #: Odd multiplier of the positional hash, its inverse modulo 2**64, and the constants of the splitmix64 finalizer (fixed values).
@@ -13,7 +14,7 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: Bytes of text that a kernel works on at once; a longer text is one piece of its own.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -42,13 +43,13 @@ def powers(base: int, n: int) -> np.ndarray:
 
 def text_pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Consecutive rows of batch with at most limit bytes of text, or one row: (rows, bytes, offsets); a null text is empty."""
-    texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()).cast(pa.large_binary()).fill_null(b"")
-    ends = np.cumsum(np.asarray(pa.compute.binary_length(texts)).astype(np.int64))
+    texts = batch.column(batch.schema.get_field_index(column))
+    ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)).astype(np.int64))
     at = 0
     while at < len(ends):
         before = int(ends[at - 1]) if at else 0
         to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
-        part = texts.slice(at, to - at)
+        part = texts.slice(at, to - at).cast(pa.large_string()).cast(pa.large_binary()).fill_null(b"")
         offsets = np.concatenate([[0], ends[at:to] - before]).astype(np.int64)
         first = np.frombuffer(part.buffers()[1], np.int64)[part.offset]
         data = np.frombuffer(part.buffers()[2], np.uint8)[first : first + offsets[-1]] if offsets[-1] else np.zeros(0, np.uint8)

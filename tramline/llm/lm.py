@@ -14,6 +14,7 @@ alike; without training texts all chances are uniform; an empty table gives an e
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,8 @@ ORDER, BITS, END = 4, 9, 257
 SYMBOLS = 257
 #: Bounds of what goes to the tasks: grams of the trie, and words with their counts.
 NODES, HEAD = 3_000_000, 500_000
+#: Bytes of text packed at once: each takes some dozen 64-bit numbers.
+MODEL_PIECE = 1 << 19
 #: The key that stands for a text's end among the words' hashes.
 END_WORD = 1
 
@@ -73,7 +76,7 @@ class Table:
 
     def __init__(self, keys: np.ndarray):
         values = np.arange(len(keys), dtype=np.int32)
-        self.shift = U(64 - max(4, int(4 * len(keys)).bit_length()))
+        self.shift = U(64 - max(4, int(2 * len(keys)).bit_length()))
         size = 1 << (64 - int(self.shift))
         self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size, np.int32)
         left = np.arange(len(keys))
@@ -181,7 +184,7 @@ def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(counts[at : at + 50000])], names=["kind", "key", "n"])
 
         for batch in batches:
-            for _, data, offsets in text_pieces(batch):
+            for _, data, offsets in text_pieces(batch, limit=MODEL_PIECE):
                 packed, _ = grams(data, offsets, order)
                 own, _ = words(data, offsets)
                 for kind, keys in ((0, packed), (1, own)):
@@ -190,7 +193,7 @@ def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
                         k, n = np.append(k, END_WORD), np.append(n, len(offsets) - 1)
                     held[kind][0].append(k)
                     held[kind][1].append(n)
-                    if sum(map(len, held[kind][0])) > 4_000_000:
+                    if sum(map(len, held[kind][0])) > 1_000_000:
                         yield from flush(kind)
         for kind in (0, 1):
             if held[kind][0]:
@@ -229,6 +232,18 @@ def train(counts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Trie:
     return Trie.of(by_order)
 
 
+_models: dict[str, tuple] = {}
+
+
+def _prepared(token: str, given: tuple, order: int) -> tuple:
+    """The model with its lookup tables, made once in a worker."""
+    if token not in _models:
+        _models.clear()
+        trie, word_keys, word_counts = given
+        _models[token] = (trie, Table(word_keys), np.log10(word_counts + 0.5), Table(trie.keys[order]), trie.log10(trie.keys[order]))
+    return _models[token]
+
+
 SCORED = "id {id}, held_out boolean, n_tokens long, head_known long, head_sum double, score double, tail array<long>"
 
 
@@ -247,15 +262,12 @@ def lm_scores(docs: DataFrame, order: int = ORDER, nodes: int = NODES, head: int
     scale = float(np.log10(total + 0.5 * (distinct + 1)))
     end = vocabulary.where(F.col("key") == END_WORD).agg(F.sum("n")).first()[0] or 0
     shared = spark.sparkContext.broadcast((trie, word_keys, word_counts))
+    token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, word_keys, word_counts = shared.value
-        slots = Table(word_keys)
-        logs = np.log10(word_counts + 0.5)
-        direct = Table(trie.keys[order])
-        chances = trie.log10(trie.keys[order])
+        trie, slots, logs, direct, chances = _prepared(token, shared.value, order)
         for batch in batches:
-            for part, data, offsets in text_pieces(batch):
+            for part, data, offsets in text_pieces(batch, limit=MODEL_PIECE):
                 packed, at = grams(data, offsets, order)
                 slot, found = direct.get(packed)
                 values = np.zeros(len(packed))
