@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_keys, stored
+from .common import row_keys
 from .kernels import U, merged_runs, mix, span_hashes, text_pieces
 
 #: Sizes of chunks in bytes: the least, the most, and the bits that must be zero at a cut (so 2 ** BITS bytes more than the least on average).
-LEAST, MOST, BITS = 48, 512, 6
+LEAST, MOST, BITS = 32, 512, 5
 #: Bytes of repeated chunks in a row before they count as a repeated passage.
-PASSAGE = 150
+PASSAGE = 130
 GEAR = (mix(np.arange(1, 257, dtype=U)) >> U(32)).astype(np.uint32)
 
 
@@ -87,11 +87,11 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 def substring_dedup(docs: DataFrame, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes, n_chunks, n_repeated (bytes in repeated passages, the first places included), n_removed, n_spans, kept_sha256 and has_repeat.
 
-    Only digests are shuffled to find repeats, counted where they are made before they are dealt out. Texts that hold a
-    repeat move once, to be rid of it; a chunk's copies in one text are told apart by their place.
+    Only digests are shuffled to find repeats, counted where they are made before they are dealt out; chunks are cut once more to
+    meet the counts, which takes less than keeping them would. Texts move once, to be rid of it; a chunk's copies in one text are told apart by their place.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", "text", *row_keys("id"))
-    chunks = stored(chunk_rows(rows), "chunks")
+    chunks = chunk_rows(rows)
     found = chunks.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("k1").alias("f1")).where("n > 1").drop("n")
     places = chunks.join(found, ["d1", "d2"]).select("k1", "k2", F.struct("start", "length", (F.col("fresh") & (F.col("k1") == F.col("f1"))).alias("first")).alias("c"))
     per_text = places.groupBy("k1", "k2").agg(F.collect_set("c").alias("repeats"))
