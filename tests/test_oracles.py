@@ -8,7 +8,7 @@ from tramline.queries import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 #: What the smallest tables hold none of.
-NONE = {"flt_04_select_trip", "par_03_extend_backwards"}
+NONE = {"rte_03_all_journeys", "flt_04_select_trip", "par_03_extend_backwards"}
 
 
 @pytest.fixture(scope="module")
