@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..model import JOURNEYS, Snapshot, all_of
 from ..operators import filters, journeys, sets, walks
+from ..storage import stored
 from . import kernel, rounds
 
 #: Connections of a window and walks that go to the tasks whole; beyond it journeys are planned by rounds.
@@ -206,7 +207,7 @@ def plan(requests: DataFrame, planner: Planner, kind: str) -> DataFrame:
     first, last = requests.agg(F.min("start_time"), F.max("end_time")).first()
     if first is None:
         return spark.createDataFrame([], JOURNEYS)
-    window = rounds.in_window(planner._connections(), first, last)
+    window = stored(rounds.in_window(planner._connections(), first, last), "window")
     paths = planner._walks()
     if window.limit(KERNEL_ROWS + 1).count() > KERNEL_ROWS or paths.limit(KERNEL_ROWS + 1).count() > KERNEL_ROWS:
         return plan_by_rounds(requests, planner, kind)

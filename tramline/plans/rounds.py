@@ -34,7 +34,8 @@ def _better(new: DataFrame, old: DataFrame, columns: tuple[str, str], sign: Colu
 
 def earliest_arrivals(connections: DataFrame, origins: DataFrame, start: int, end: int, transfer: int = TRANSFER, footpaths: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
     """(query_id, stop, arrival, ready) of every stop reached from origins (query_id, stop) within the window, the origins included."""
-    w = in_window(connections, start, end)
+    # Every round reads the window twice: it is written once, filtered.
+    w = stored(in_window(connections, start, end), "window")
     on, off = w.where(can_get_on()), w.where(can_get_off())
     labels = origins.select("query_id", "stop", F.lit(start).cast("bigint").alias("arrival"), F.lit(start).cast("bigint").alias("ready"))
     if footpaths is not None:
@@ -60,7 +61,7 @@ def _walked(labels: DataFrame, footpaths: DataFrame, end: int) -> DataFrame:
 
 def latest_departures(connections: DataFrame, targets: DataFrame, start: int, end: int, transfer: int = TRANSFER, footpaths: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
     """(query_id, stop, departure, ready) of every stop from which targets (query_id, stop) are reached by the window's end: the mirror image."""
-    w = in_window(connections, start, end).where(F.col("arr_time") <= end)
+    w = stored(in_window(connections, start, end).where(F.col("arr_time") <= end), "window")
     on, off = w.where(can_get_on()), w.where(can_get_off())
     labels = targets.select("query_id", "stop", F.lit(end).cast("bigint").alias("departure"), F.lit(end).cast("bigint").alias("ready"))
     if footpaths is not None:

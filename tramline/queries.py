@@ -13,7 +13,8 @@ from .functions import geo, parsers
 from .model import CANCELLED, Snapshot, attribute, can_get_off, can_get_on, connection_errors, is_cancelled, stop_name
 from .operators import aggregates, filters, journeys, pareto, sets, validate, walks
 from .plans import rounds
-from .sources import gtfs, osm, sinks
+from .plans.planner import Planner, Profile, plan
+from .sources import gtfs, lc, osm, sinks
 from .streaming import refresh
 
 #: The window that journeys are asked for: a day of the derived timetable.
@@ -260,6 +261,33 @@ def _(spark, d):
     return out.where(F.col("stop") != F.concat(F.lit("stop/"), "query_id")).select(F.col("query_id").alias("to_key"), F.col("stop").alias("from_stop"), "departure")
 
 
+@query("rte_11_multi_source", sql(f"SELECT stop, t AS arrival FROM l{SQL_ROUNDS}", *rounds_sql(FROM_0 + f" UNION ALL SELECT 0, 'stop/24', CAST({START} AS BIGINT)", True)))
+def _(spark, d):
+    paths = walks.footpaths(derive.stops(spark, d), walks.CrowFlight(METRES))
+    both = spark.createDataFrame([(0, "stop/0"), (0, "stop/24")], "query_id int, stop string")
+    return rounds.earliest_arrivals(derive.connections(spark, d), both, START, END, footpaths=paths).select("stop", "arrival")
+
+
+def _requests(spark: SparkSession) -> DataFrame:
+    rows = [(a * 25 + b, [f"stop/{a}"], [f"stop/{b}"], START, END) for a in range(25) for b in range(25) if a != b]
+    return spark.createDataFrame(rows, "query_id int, from_stops array<string>, to_stops array<string>, start_time bigint, end_time bigint")
+
+
+def _scans(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    found = plan(_requests(spark), Planner(snapshot(spark, d), Profile(walks=walks.CrowFlight(METRES))), kind)
+    return found.withColumns({"a": F.floor(F.col("query_id") / 25).cast("int"), "b": (F.col("query_id") % 25).cast("int")})
+
+
+@query("rte_01_earliest_arrival_scan", ORACLES["rte_01_earliest_arrival"])
+def _(spark, d):
+    return _scans(spark, d, "earliest").select(F.col("a").alias("from_key"), F.concat(F.lit("stop/"), "b").alias("to_stop"), "arrival")
+
+
+@query("rte_02_latest_departure_scan", ORACLES["rte_02_latest_departure"])
+def _(spark, d):
+    return _scans(spark, d, "latest").select(F.col("b").alias("to_key"), F.concat(F.lit("stop/"), "a").alias("from_stop"), "departure")
+
+
 @query("rte_07_direct_walk", sql("SELECT from_stop, to_stop, secs FROM fp WHERE from_stop IN ('stop/0', 'stop/6') AND to_stop IN ('stop/1', 'stop/7', 'stop/12')", FOOT))
 def _(spark, d):
     stops = derive.stops(spark, d)
@@ -295,6 +323,18 @@ def _(spark, d):
     return _profile(spark, d).where("stop = 'stop/12'").select("dep", "arr", "vehicles")
 
 
+@query("rte_03_all_journeys_scan", ORACLES["rte_03_all_journeys"])
+def _(spark, d):
+    own = Planner(snapshot(spark, d), Profile(walks=walks.InternalTransfer())).between("stop/12", "stop/0").window(START, END)
+    return own.all_journeys().select(F.col("departure").alias("dep"), F.col("arrival").alias("arr"), "vehicles").distinct()
+
+
+@query("rte_12_journeys_in_isochrone", ORACLES["rte_03_all_journeys"])
+def _(spark, d):
+    own = Planner(snapshot(spark, d), Profile(walks=walks.InternalTransfer())).between("stop/12", "stop/0").window(START, END)
+    return own.with_isochrone_filter().all_journeys().select(F.col("departure").alias("dep"), F.col("arrival").alias("arr"), "vehicles").distinct()
+
+
 ISO = f"iso AS MATERIALIZED (SELECT stop, t AS arrival FROM l{SQL_ROUNDS})"
 
 
@@ -587,6 +627,11 @@ def _(spark, d):
     return walks.walk_towards(reaching, walks.footpaths(stops, walks.CrowFlight(METRES)), START)
 
 
+@query("wlk_01_crow_flight", sql(f"SELECT a.stop_id AS from_stop, b.stop_id AS to_stop, CAST(floor(round(0.8 * {DIST}, 6)) AS INTEGER) AS secs FROM st a, st b WHERE a.stop_id <> b.stop_id AND {DIST} <= 400.0"))
+def _(spark, d):
+    return walks.footpaths(derive.stops(spark, d), walks.CrowFlight(400.0, 0.8))
+
+
 # --- 2.8 sets, order, validation ---------------------------------------------------------------------------------------
 
 
@@ -794,6 +839,62 @@ def _(spark, d):
     return rows.select("text", parsers.duration_seconds(F.col("text")).cast("int").alias("seconds"))
 
 
+FLAGS = "fl AS (SELECT event_id, event_id % 2 = 0 AS a, event_id % 3 = 0 AS b, event_id % 5 = 0 AS x FROM events)"
+
+
+@query("src_12_lc_mode", sql("SELECT event_id, CASE WHEN a AND b THEN 0 WHEN a THEN 1 WHEN b THEN 2 ELSE 3 END + CASE WHEN x THEN 4 ELSE 0 END AS mode FROM fl", FLAGS))
+def _(spark, d):
+    e = F.col("event_id")
+    return derive.table(spark, d, "events").select("event_id", lc.lc_mode(e % 2 == 0, e % 3 == 0, e % 5 == 0).cast("int").alias("mode"))
+
+
+@query("src_15_lc_timetable_uri", sql("SELECT conn_id, concat('http://x/c?departureTime=', strftime(make_timestamp((dep_time - dep_time % 60) * 1000000), '%Y-%m-%dT%H:%M:%S'), '.000Z') AS uri, dep_time - dep_time % 60 AS minute FROM c"))
+def _(spark, d):
+    uri = lc.page_uri_column("http://x/c", F.timestamp_seconds("dep_time"))
+    return derive.connections(spark, d).select("conn_id", uri.alias("uri")).withColumn("minute", F.unix_timestamp(lc.page_time(F.col("uri"))))
+
+
+@query(
+    "src_19_osm_stop_positions",
+    """WITH m AS (SELECT n_regionkey AS route_id, n_nationkey AS node, n_nationkey AS ord, 3.0 + (n_nationkey % 5) * 0.004 AS lon, 51.0 + floor(n_nationkey / 5) * 0.003 AS lat, n_nationkey % 3 <> 0 AS stop FROM nation)
+ SELECT route_id, node, CAST(row_number() OVER (PARTITION BY route_id ORDER BY stop DESC, node) - 1 AS INTEGER) AS pos FROM m""",
+)
+def _(spark, d):
+    # Nations are stops, or platforms far from any stop where their key is a multiple of three; a platform 11 m beside each stop belongs to it.
+    n = F.col("n_nationkey").cast("long")
+    lon, lat = 3.0 + (n % 5) * 0.004, 51.0 + F.floor(n / 5) * 0.003
+    none = F.expr(f"cast(array() as {osm.TAGS})")
+    own = derive.table(spark, d, "nation")
+    nodes = own.select(n.alias("_id"), lat.alias("_lat"), lon.alias("_lon"), none.alias("tag")).unionByName(own.where(n % 3 != 0).select((n + 1000).alias("_id"), (lat + 0.0001).alias("_lat"), lon.alias("_lon"), none.alias("tag")))
+    role = F.when((F.col("node") >= 1000) | (F.col("node") % 3 == 0), "platform").otherwise("stop")
+    members = own.select(F.col("n_regionkey").cast("long").alias("route_id"), F.explode(F.array(n, n + 1000)).alias("node")).where("NOT (node >= 1000 AND node % 1000 % 3 = 0)")
+    found = members.groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct("node", role.alias("role")))).alias("m"))
+    found = found.select("route_id", F.transform("m", lambda x: F.struct(F.lit("node").alias("_type"), x["node"].alias("_ref"), x["role"].alias("_role"))).alias("members"))
+    return osm.stop_positions(found, nodes).select("route_id", "node", "pos")
+
+
+@query("src_24_table_scan", sql("SELECT trip_id, operator_id FROM tr"))
+def _(spark, d):
+    return derive.trips(spark, d).select("trip_id", "operator_id")
+
+
+@query("set_03_table_aggregator", sql("SELECT stop_id, CAST(CASE WHEN lat < 51.004 THEN 0 ELSE 1 END AS INTEGER) AS source_id FROM st"))
+def _(spark, d):
+    own = derive.stops(spark, d)
+    return sets.first_match([own.where("lat < 51.004"), own], "stop_id").select("stop_id", "source_id")
+
+
+@query("fn_dates", sql("SELECT conn_id, epoch(make_timestamp(dep_time * 1000000) AT TIME ZONE 'Europe/Brussels')::BIGINT AS utc, strftime(make_timestamp(dep_time * 1000000), '%Y-%m-%d_%H') AS hour FROM c WHERE dep_time < 1704100000"))
+def _(spark, d):
+    local = F.timestamp_seconds("dep_time")
+    return derive.connections(spark, d).where("dep_time < 1704100000").select("conn_id", F.unix_timestamp(parsers.local_to_utc(local, "Europe/Brussels")).alias("utc"), F.date_format(local, "yyyy-MM-dd_HH").alias("hour"))
+
+
+@query("fn_file_name", "SELECT p_partkey AS k, regexp_replace(concat(p_name, '/', p_type, ':', p_size, '?'), '[\\\\/:*?\"<>|]', '_', 'g') AS name FROM part")
+def _(spark, d):
+    return derive.table(spark, d, "part").select(F.col("p_partkey").alias("k"), parsers.file_name(F.concat("p_name", F.lit("/"), "p_type", F.lit(":"), "p_size", F.lit("?"))).alias("name"))
+
+
 # --- 2.2 sinks as tables, 2.9 refresh ----------------------------------------------------------------------------------
 
 

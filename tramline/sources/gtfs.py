@@ -85,8 +85,6 @@ def stops_of(stops: DataFrame, prefix: str, translations: DataFrame | None = Non
 
 def active_days(calendar: DataFrame, calendar_dates: DataFrame, start: date, end: date, use_range: bool = True) -> DataFrame:
     """(service_id, day) of the days from start to end, both included, on which a service runs: an exception overrides the week."""
-    spark = calendar.sparkSession
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end))).alias("day"))
     flags = F.array(*[F.col(d).cast("int") for d in DAYS])
     within = F.col("day").between(F.to_date("start_date", "yyyyMMdd"), F.to_date("end_date", "yyyyMMdd")) if use_range else F.lit(True)
     # Days of the request are few: one row for each comes from the week's flags.
