@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import derive
+from . import cli, derive
 from .functions import geo, parsers
 from .model import CANCELLED, Snapshot, attribute, can_get_off, can_get_on, connection_errors, is_cancelled, stop_name
 from .operators import aggregates, filters, journeys, pareto, sets, validate, walks
 from .plans import rounds
 from .plans.planner import Planner, Profile, plan
-from .sources import gtfs, lc, osm, sinks
+from .sources import gtfs, lc, osm, sinks, snapshots
+from .storage import shared_dir
 from .streaming import refresh
 
 #: The window that journeys are asked for: a day of the derived timetable.
@@ -941,6 +943,68 @@ def _(spark, d):
     return refresh.latest_versions(both).select("conn_id", "dep_time")
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("str_04_stream_of_updates", ORACLES["str_04_late_updates"])
+def _(spark, d):
+    own = derive.connections(spark, d)
+    late = 60 * (F.substring_index("conn_id", "/", -1).cast("long") % 5)
+    arrived, store = _scratch(spark, "changes"), snapshots.Store(spark, _scratch(spark, "store"))
+    own.withColumn("version", F.lit(1).cast("bigint")).unionByName(own.withColumns({"dep_time": F.col("dep_time") + late, "version": F.lit(2).cast("bigint")})).write.parquet(arrived)
+    refresh.upsert_stream(refresh.connection_stream(spark, arrived), store, _scratch(spark, "progress")).awaitTermination()
+    return store.latest().connections.select("conn_id", "dep_time")
+
+
+@query("str_01_update_time_frame", "SELECT * FROM (VALUES (CAST(500 AS BIGINT), CAST(1000 AS BIGINT)), (2000, 2500), (3000, 3500)) v(start_time, end_time)")
+def _(spark, d):
+    updater = refresh.Updater(snapshots.Store(spark, _scratch(spark, "store")), None, [(1000, 1500), (1400, 2000), (2500, 3000)])
+    return spark.createDataFrame(updater.gaps(500, 3500), "start_time bigint, end_time bigint")
+
+
+@query("src_21_snapshot_round_trip", sql(f"SELECT {CONN} FROM c"))
+def _(spark, d):
+    path = _scratch(spark, "snapshot")
+    snapshots.write(snapshot(spark, d), path)
+    return conns(snapshots.read(spark, path).connections)
+
+
+@query("cli_01_executor", sql(f"SELECT {CONN} FROM c WHERE dep_time >= {START} AND dep_time < {END} AND (dep_stop = 'stop/3' OR arr_stop = 'stop/3')"))
+def _(spark, d):
+    path = _scratch(spark, "snapshot")
+    snapshots.write(snapshot(spark, d), path)
+    words = ["--read-transit-db", path, "--select-time", "start=2024-01-15", "duration=1day", "--select-stop", "stop/3", "--remove-unused"]
+    return conns(cli.execute(cli.State(spark), cli.parse(words))[0].connections)
+
+
+@query("snk_07_map_nodes", sql("SELECT concat('node:', stop_id) AS node, lon, lat, name FROM st"))
+def _(spark, d):
+    return sinks.map_nodes(snapshot(spark, d))
+
+
+@query("snk_07_map_ways", sql("SELECT DISTINCT concat('way:', dep_stop, '>', arr_stop) AS way, concat('node:', dep_stop) AS from_node, concat('node:', arr_stop) AS to_node FROM c"))
+def _(spark, d):
+    return sinks.map_ways(snapshot(spark, d))
+
+
+@query("snk_04_connections_human", sql("SELECT c.conn_id, a.name AS dep_name, strftime(make_timestamp(c.dep_time * 1000000), '%H:%M') AS departure, b.name AS arr_name, strftime(make_timestamp(c.arr_time * 1000000), '%H:%M') AS arrival, c.travel_time, tr.headsign, tr.route, c.mode FROM c JOIN st a ON a.stop_id = c.dep_stop JOIN st b ON b.stop_id = c.arr_stop JOIN tr ON tr.trip_id = c.trip_id"))
+def _(spark, d):
+    return sinks.connections_table(snapshot(spark, d), human=True).withColumn("mode", F.col("mode").cast("int"))
+
+
+@query("jny_02_chain_special", sql("SELECT CAST(jid AS INTEGER) AS journey_id, max(arr_time) + 300 AS arrival, CAST(count(*) + 1 AS INTEGER) AS n FROM wk GROUP BY jid", WEEKS))
+def _(spark, d):
+    legs = journeys.chain_special(F.col("legs"), journeys.WALK, F.lit("stop/0"), F.lit(300))
+    return week_journeys(spark, d).select("journey_id", journeys.arrival(legs).alias("arrival"), F.size(legs).alias("n"))
+
+
+@query("jny_08_append", sql("SELECT CAST(jid AS INTEGER) AS journey_id, CAST(2 * count(*) AS INTEGER) AS n, min(dep_time) AS departure FROM wk GROUP BY jid", WEEKS))
+def _(spark, d):
+    legs = journeys.append(F.col("legs"), journeys.reverse(F.col("legs")))
+    return week_journeys(spark, d).select("journey_id", F.size(legs).alias("n"), journeys.departure(legs).alias("departure"))
+
+
 @query("str_departures_by_window", sql("SELECT dep_time - dep_time % 900 AS start_time, dep_stop, count(*) AS departures FROM c GROUP BY dep_time - dep_time % 900, dep_stop"))
 def _(spark, d):
     return refresh.windowed_departures(derive.connections(spark, d))
