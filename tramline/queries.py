@@ -974,7 +974,7 @@ def _(spark, d):
 def _(spark, d):
     path = _scratch(spark, "snapshot")
     snapshots.write(snapshot(spark, d), path)
-    words = ["--read-transit-db", path, "--select-time", "start=2024-01-15", "duration=1day", "allow-empty=true", "--select-stop", "stop/3", "allow-empty=true", "--remove-unused"]
+    words = ["--read-transit-db", path, "--select-stop", "stop/3", "--select-time", "start=2024-01-15", "duration=1day", "allow-empty=true", "--remove-unused"]
     return conns(cli.execute(cli.State(spark), cli.parse(words))[0].connections)
 
 
