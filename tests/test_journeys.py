@@ -212,3 +212,10 @@ def test_snapshot_of_nothing(spark):
         filters.select_time(snap, 0, 1, allow_empty=False)
     with pytest.raises(filters.UnknownId):
         filters.select_stops(snap, "x")
+
+
+def test_empty_tables(spark):
+    none = derive.connections(spark, "/root/testdata/sf0.001").limit(0)
+    assert rounds.earliest_arrivals(none, origin(spark), DAY, DAY + 1).count() == 0
+    assert rounds.latest_departures(none, origin(spark, "stop/0"), DAY, DAY + 1).count() == 1
+    assert rounds.profiles(none, ["stop/0"], DAY, DAY + 1).count() == 0

@@ -6,7 +6,7 @@ transfer time, one on foot does not. Rounds end when no label improves. State is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..model import can_get_off, can_get_on, is_cancelled
@@ -21,15 +21,16 @@ def in_window(connections: DataFrame, start: int, end: int) -> DataFrame:
     return connections.where((F.col("dep_time") >= start) & (F.col("dep_time") < end) & ~is_cancelled()).select("conn_id", "dep_stop", "arr_stop", "dep_time", "arr_time", "mode", "trip_id")
 
 
-def _better(new: DataFrame, old: DataFrame, columns: tuple[str, str], sign: Column) -> tuple[DataFrame, DataFrame]:
-    """(all labels, those that improved)."""
+def _better(new: DataFrame, old: DataFrame, columns: tuple[str, str], sign: int) -> tuple[DataFrame, DataFrame, int]:
+    """(all labels, those that improved, how many those are: counted while they are written)."""
     a, b = columns
     pick = F.min if sign == 1 else F.max
     both = old.withColumn("old", F.lit(1)).unionByName(new.withColumn("old", F.lit(0)))
     best = both.groupBy("query_id", "stop").agg(pick(a).alias(a), pick(b).alias(b), pick(F.when(F.col("old") == 1, F.col(a))).alias("a0"), pick(F.when(F.col("old") == 1, F.col(b))).alias("b0"))
     best = best.withColumn("improved", F.col("a0").isNull() | (F.col(a) != F.col("a0")) | F.col("b0").isNull() | (F.col(b) != F.col("b0")))
-    best = stored(best.drop("a0", "b0"), "labels")
-    return best.drop("improved"), best.where("improved").drop("improved")
+    seen = Observation()
+    best = stored(best.drop("a0", "b0").observe(seen, F.count_if("improved").alias("n")), "labels")
+    return best.drop("improved"), best.where("improved").drop("improved"), seen.get["n"]
 
 
 def earliest_arrivals(connections: DataFrame, origins: DataFrame, start: int, end: int, transfer: int = TRANSFER, footpaths: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
@@ -48,8 +49,8 @@ def earliest_arrivals(connections: DataFrame, origins: DataFrame, start: int, en
         new = ride.withColumn("ready", F.col("arrival") + transfer)
         if footpaths is not None:
             new = new.unionByName(_walked(new, footpaths, end))
-        labels, front = _better(new, labels, ("arrival", "ready"), 1)
-        if front.isEmpty():
+        labels, front, improved = _better(new, labels, ("arrival", "ready"), 1)
+        if not improved:
             break
     return labels
 
@@ -74,8 +75,8 @@ def latest_departures(connections: DataFrame, targets: DataFrame, start: int, en
         new = ride.withColumn("ready", F.col("departure") - transfer)
         if footpaths is not None:
             new = new.unionByName(_walked_to(new, footpaths, start))
-        labels, front = _better(new, labels, ("departure", "ready"), -1)
-        if front.isEmpty():
+        labels, front, improved = _better(new, labels, ("departure", "ready"), -1)
+        if not improved:
             break
     return labels
 
