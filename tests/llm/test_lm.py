@@ -70,6 +70,15 @@ def test_scores(spark, rows, order, head):
         assert a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
+@pytest.mark.parametrize("nodes", [0, 40])
+def test_grams_beyond_the_head_count(spark, rows, nodes):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r[0] is None, str(r[0]), r[1])
+    got = sorted(((r["doc_id"], r["n_tokens"], r["score"]) for r in lm.lm_scores(docs, nodes=nodes).collect()), key=key)
+    for a, b in zip(got, sorted(((r[0], r[2], r[6]) for r in expected(rows, lm.ORDER)), key=key), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9)
+
+
 def trained(texts, order=lm.ORDER, least=1):
     raw = [t.encode() for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)

@@ -5,8 +5,8 @@ tables of packed contexts, one for each order. A symbol's chance is that of the
 longer context charges its escape by method C (distinct symbols over total plus distinct), and the symbols it knows are excluded from
 the shorter ones. Each document's score is the sum of log10 chances of its bytes and its end.
 
-The trie goes to the tasks, so it is bounded: it holds the grams of all orders that stand at least so often that NODES suffice (once,
-where all fit). Word counts are not bounded: the HEAD most frequent go to the tasks, the others meet their words by a join.
+No count is left out. Chances of grams are found from all counts by joins on the cluster: those of the NODES most frequent go to the tasks as a lookup, the
+others meet their grams by a join, and so do words beyond the HEAD most frequent. Grams that never trained go down the orders by joins with the contexts.
 
 Defined results: a null text is empty and scores its end only; a null id counts as the empty string and trains; rows alike are scored
 alike; without training texts all chances are uniform; an empty table gives an empty result. Extra columns are not read.
@@ -29,7 +29,7 @@ from .kernels import BASE, U, lowered, span_hashes, text_pieces, word_spans
 #: Symbols of context; bits of a packed symbol; 0 pads the start of a text, bytes are 1 to 256, END closes it.
 ORDER, BITS, END = 4, 9, 257
 SYMBOLS = 257
-#: Bounds of what goes to the tasks: grams of the trie, and words with their counts.
+#: Bounds of what goes to the tasks: grams with their chances, and words with their counts.
 NODES, HEAD = 3_000_000, 500_000
 #: Bytes of text packed at once: each takes some dozen 64-bit numbers.
 MODEL_PIECE = 1 << 19
@@ -214,37 +214,78 @@ def least_count(counts: DataFrame, most: int) -> int:
     return least
 
 
-def train(counts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Trie:
-    """The trie of the counted grams. Shorter orders are summed from the longest on the cluster; what comes to the driver is bounded by nodes."""
-    longest = counts.where("kind = 0").select("key", "n")
-    every = longest.select(F.lit(order).alias("o"), "key", "n")
-    for o in range(order):
+@dataclass
+class Orders:
+    """For each order, on the cluster: grams (key, n) and contexts (context, total, distinct, shorter), as in Trie; and chances (key, n, chance) of the longest grams."""
+
+    grams: list[DataFrame]
+    contexts: list[DataFrame]
+    chances: DataFrame
+
+
+def small(df: DataFrame, symbols: int) -> DataFrame:
+    """df, to be broadcast where keys of so few symbols can only be few (two symbols: 66 000)."""
+    return F.broadcast(df) if symbols <= 2 else df
+
+
+def train(counts: DataFrame, order: int = ORDER) -> Orders:
+    """All orders from all counted grams: shorter ones are summed from the next longer, contexts from their grams."""
+    own = [counts.where("kind = 0").select("key", "n")]
+    for o in range(order - 1, -1, -1):
         mask = (1 << BITS * (o + 1)) - 1
-        every = every.unionByName(longest.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n")).select(F.lit(o).alias("o"), "key", "n"))
-    every = stored(every, "grams")
-    own = every.where(F.col("n") >= least_count(every, nodes)).toArrow()
-    o, key, n = (own.column(i).to_numpy() for i in range(3))
-    by_order = []
-    for k in range(order + 1):
-        keys, ns = key[o == k], n[o == k]
-        at = np.argsort(keys)
-        by_order.append((keys[at], ns[at]))
-    return Trie.of(by_order)
+        own.insert(0, stored(own[0].groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n")), "grams"))
+    contexts = []
+    for o, df in enumerate(own):
+        df = df.withColumn("context", F.shiftright("key", BITS)).withColumn("below", F.lit(0).cast("bigint"))
+        if o:
+            shorter = own[o - 1].select(F.col("key").alias("suffix"), F.col("n").alias("m"))
+            df = df.withColumn("suffix", F.col("key").bitwiseAND(F.lit((1 << BITS * o) - 1))).join(small(shorter, o), "suffix").withColumn("below", F.col("m"))
+        contexts.append(stored(df.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum("below").alias("shorter")), "contexts"))
+    longest = own[order].withColumn("context", F.shiftright("key", BITS)).join(contexts[order], "context")
+    return Orders(own, contexts, stored(longest.select("key", "n", F.log10(F.col("n") / (F.col("total") + F.col("distinct"))).alias("chance")), "chances"))
+
+
+def unseen_chances(keys: DataFrame, model: Orders) -> DataFrame:
+    """(key, chance) of grams (key) of the longest order that never trained: as Trie.log10, a join with each order's contexts and grams a step."""
+    order = len(model.grams) - 1
+    zero = F.lit(0).cast("bigint")
+    df = keys.select("key", zero.alias("gone"), zero.alias("mass"), F.lit(0.0).alias("chance"), F.lit(False).alias("done"))
+    for o in range(order, -1, -1):
+        own = F.col("key").bitwiseAND(F.lit((1 << BITS * (o + 1)) - 1))
+        df = df.withColumn("own", own).withColumn("context", F.shiftright("own", BITS)).join(small(model.contexts[o], o), "context", "left")
+        if o < order:
+            df = df.join(small(model.grams[o].withColumnRenamed("key", "own"), o + 1), "own", "left")
+        else:
+            df = df.withColumn("n", F.lit(None).cast("bigint"))
+        context = F.col("total").isNotNull()
+        total = F.when(context, F.col("total") - F.col("mass")).otherwise(0)
+        distinct = F.when(context, F.col("distinct") - F.col("gone")).otherwise(0)
+        whole = F.greatest(total + distinct, F.lit(1))
+        part = F.when(F.col("n").isNotNull(), F.col("n")).when(distinct > 0, distinct).otherwise(whole)
+        df = df.select(
+            "key",
+            F.when(context & ~F.col("done"), F.col("distinct")).otherwise(F.col("gone")).alias("gone"),
+            F.when(context & ~F.col("done"), F.col("shorter")).otherwise(F.col("mass")).alias("mass"),
+            F.when(F.col("done"), F.col("chance")).otherwise(F.col("chance") + F.log10(part / whole)).alias("chance"),
+            (F.col("done") | F.col("n").isNotNull()).alias("done"),
+        )
+    rest = F.log10(F.greatest(F.lit(SYMBOLS) - F.col("gone"), F.lit(1)))
+    return df.select("key", (F.col("chance") - F.when(F.col("done"), 0.0).otherwise(rest)).alias("chance"))
 
 
 _models: dict[str, tuple] = {}
 
 
-def _prepared(token: str, given: tuple, order: int) -> tuple:
-    """The model with its lookup tables, made once in a worker."""
+def _prepared(token: str, given: tuple) -> tuple:
+    """The lookup tables of grams and words with their values, made once in a worker."""
     if token not in _models:
         _models.clear()
-        trie, word_keys, word_counts = given
-        _models[token] = (trie, Table(word_keys), np.log10(word_counts + 0.5), Table(trie.keys[order]), trie.log10(trie.keys[order]))
+        gram_keys, chances, word_keys, word_counts = given
+        _models[token] = (Table(gram_keys), chances, Table(word_keys), np.log10(word_counts + 0.5))
     return _models[token]
 
 
-SCORED = "id {id}, held_out boolean, n_tokens long, head_known long, head_sum double, score double, tail array<long>"
+SCORED = "id {id}, held_out boolean, n_tokens long, head_known long, head_sum double, score double, tail array<long>, grams array<long>"
 
 
 def lm_scores(docs: DataFrame, order: int = ORDER, nodes: int = NODES, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text", fold: int = 1, folds: int = 5) -> DataFrame:
@@ -253,7 +294,9 @@ def lm_scores(docs: DataFrame, order: int = ORDER, nodes: int = NODES, head: int
     held = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % folds == fold
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", held.alias("held_out"), "text")
     counts = stored(corpus_counts(rows.where("NOT held_out"), order), "counts", partition_by="kind")
-    trie = train(counts, order, nodes)
+    model = train(counts, order)
+    frequent = model.chances.where(F.col("n") >= least_count(model.chances, nodes)).select("key", "chance").toArrow()
+    gram_keys, chances = (frequent.column(i).to_numpy() for i in range(2))
     vocabulary = counts.where("kind = 1").select("key", "n")
     total, distinct = (int(x or 0) for x in vocabulary.agg(F.sum("n"), F.count("*")).first())
     often = least_count(vocabulary, head)
@@ -261,21 +304,19 @@ def lm_scores(docs: DataFrame, order: int = ORDER, nodes: int = NODES, head: int
     word_keys, word_counts = known.column(0).to_numpy(), known.column(1).to_numpy()
     scale = float(np.log10(total + 0.5 * (distinct + 1)))
     end = vocabulary.where(F.col("key") == END_WORD).agg(F.sum("n")).first()[0] or 0
-    shared = spark.sparkContext.broadcast((trie, word_keys, word_counts))
+    shared = spark.sparkContext.broadcast((gram_keys, chances, word_keys, word_counts))
     token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, slots, logs, direct, chances = _prepared(token, shared.value, order)
+        direct, chances, slots, logs = _prepared(token, shared.value)
         for batch in batches:
             for part, data, offsets in text_pieces(batch, limit=MODEL_PIECE):
                 packed, at = grams(data, offsets, order)
                 slot, found = direct.get(packed)
                 values = np.zeros(len(packed))
                 values[found] = chances[slot[found]]
-                if not found.all():
-                    new, where = np.unique(packed[~found], return_inverse=True)
-                    values[~found] = trie.log10(new)[where]
                 score = np.add.reduceat(values, at[:-1])
+                others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(~found)])[at].astype(np.int32)), pa.array(packed[~found]))
                 own, firsts = words(data, offsets)
                 text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
                 slot, found = slots.get(own)
@@ -284,14 +325,19 @@ def lm_scores(docs: DataFrame, order: int = ORDER, nodes: int = NODES, head: int
                 head_known = np.bincount(text[found], minlength=texts)
                 rest = np.bincount(text[~found], minlength=texts)
                 tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rest)]).astype(np.int32)), pa.array(own[~found]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(firsts) + 1), pa.array(head_known), pa.array(head_sum), pa.array(score), tail], names=["id", "held_out", "n_tokens", "head_known", "head_sum", "score", "tail"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(firsts) + 1), pa.array(head_known), pa.array(head_sum), pa.array(score), tail, others], names=["id", "held_out", "n_tokens", "head_known", "head_sum", "score", "tail", "grams"])
 
     scored = rows.mapInArrow(run, SCORED.format(id=rows.schema["id"].dataType.simpleString()))
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     tail = scored.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     rare = vocabulary.where(F.col("n") < often)
     tail = tail.join(rare, "key").groupBy("row").agg(F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - F.log10(F.lit(0.5)))).alias("tail_sum"), F.sum("times").alias("tail_known"))
-    out = scored.select("id", "held_out", "n_tokens", "head_known", "head_sum", "score", F.size("tail").alias("rest"), "row").join(tail, "row", "left")
+    others = stored(scored.select("row", F.explode("grams").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times")), "others")
+    trained = model.chances.select("key", "chance")
+    unseen = others.select("key").distinct().join(trained, "key", "left_anti")
+    others = others.join(trained.unionByName(unseen_chances(unseen, model)), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("chance")).alias("others_sum"))
+    out = scored.select("id", "held_out", "n_tokens", "head_known", "head_sum", "score", F.size("tail").alias("rest"), "row").join(tail, "row", "left").join(others, "row", "left")
+    score = F.col("score") + F.coalesce("others_sum", F.lit(0.0))
     base = F.col("head_sum") + F.col("rest") * F.log10(F.lit(0.5)) + F.coalesce("tail_sum", F.lit(0.0)) + float(np.log10(end + 0.5)) - F.col("n_tokens") * scale
     n_known = F.col("head_known") + F.coalesce("tail_known", F.lit(0)) + (1 if end else 0)
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", n_known.cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", n_known.cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
