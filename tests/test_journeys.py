@@ -164,6 +164,20 @@ def test_requests_beyond_the_kernel_go_by_rounds(spark, derived, monkeypatch):
     assert plan.latest_departure().first()["departure"] == late
 
 
+@pytest.mark.parametrize("most", [None, 1])
+def test_all_journeys_do_not_depend_on_the_kernels_rows(spark, derived, monkeypatch, most):
+    from tramline.plans import planner as module
+
+    snap, _, _ = derived
+    plan = Planner(snap, Profile(max_transfers=most)).between("stop/1", "stop/0").window(DAY, DAY + 86400)
+    asks = (plan.all_journeys, plan.earliest_arrival, plan.latest_departure)
+    near = [[tuple(r) for r in ask().collect()] for ask in asks]
+    monkeypatch.setattr(module, "KERNEL_ROWS", 10)
+    beyond = [[tuple(r) for r in ask().collect()] for ask in asks]
+    assert sorted(map(str, beyond[0])) == sorted(map(str, near[0])) and len(near[0]) > 1
+    assert [x[0][2:4] for x in beyond[1:]] == [x[0][2:4] for x in near[1:]] and all(x[0][-1] for x in beyond[1:])
+
+
 def test_metrics(spark):
     def journey(*legs):
         none = F.lit(None).cast("string")

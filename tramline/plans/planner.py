@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..model import JOURNEYS, Snapshot, all_of
+from ..model import JOURNEYS, LEG, Snapshot, all_of, can_get_off, can_get_on
 from ..operators import filters, journeys, sets, walks
 from ..storage import stored
 from . import kernel, rounds
 
-#: Connections of a window and walks that go to the tasks whole; beyond it journeys are planned by rounds.
+#: Connections of a window and walks that go to the tasks whole; beyond it each request gets those of use to it.
 KERNEL_ROWS = 2_000_000
 
 
@@ -201,7 +202,7 @@ def plan(requests: DataFrame, planner: Planner, kind: str) -> DataFrame:
     """Journeys for a table of requests (query_id, from_stops, to_stops, start_time, end_time); kind: earliest, latest or all.
 
     The connections of the requests' windows go to the tasks once if they are few enough, checked by a count; each task then answers its requests by
-    scans. Beyond that the requests are answered by rounds, which give times without legs.
+    scans. Beyond that each request is scanned over the trips and walks of use to it, which rounds find; the answers are the same.
     """
     spark = requests.sparkSession
     first, last = requests.agg(F.min("start_time"), F.max("end_time")).first()
@@ -209,52 +210,73 @@ def plan(requests: DataFrame, planner: Planner, kind: str) -> DataFrame:
         return spark.createDataFrame([], JOURNEYS)
     window = stored(rounds.in_window(planner._connections(), first, last), "window")
     paths = planner._walks()
+    asked = requests.select("query_id", "from_stops", "to_stops", "start_time", "end_time")
+    answer, schema = _answer(planner.profile, kind), f"query_id int, journey_id int, legs array<{LEG}>"
     if window.limit(KERNEL_ROWS + 1).count() > KERNEL_ROWS or paths.limit(KERNEL_ROWS + 1).count() > KERNEL_ROWS:
-        return plan_by_rounds(requests, planner, kind)
-    rows = [tuple(r) for r in window.toPandas().itertuples(index=False)]
-    table = kernel.Timetable.of(rows, [tuple(r) for r in paths.toPandas().itertuples(index=False)])
-    shared = spark.sparkContext.broadcast(table)
-    transfer, most, legacy = planner.profile.transfer, planner.profile.max_transfers, planner.profile.legacy_transfer
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                ask = (own, list(r.from_stops), list(r.to_stops), int(r.start_time), int(r.end_time), transfer)
-                if kind == "all":
-                    found = kernel.all_journeys(*ask, legacy_transfer=legacy, max_vehicles=None if most is None else most + 1)
-                else:
-                    one = (kernel.earliest_arrival if kind == "earliest" else kernel.latest_departure)(*ask)
-                    found = [] if one is None else [one]
-                names = ("kind", "conn_id", "trip_id", "from_stop", "to_stop", "dep", "arr")
-                out += [(int(r.query_id), k, [dict(zip(names, x)) for x in legs]) for k, legs in enumerate(found)]
-            yield pd.DataFrame(out, columns=["query_id", "journey_id", "legs"])
-
-    from ..model import LEG
+        found = _by_request(asked, window, paths, planner.profile, answer, schema)
+    else:
+        rows = [tuple(r) for r in window.toPandas().itertuples(index=False)]
+        table = kernel.Timetable.of(rows, [tuple(r) for r in paths.toPandas().itertuples(index=False)])
+        shared = spark.sparkContext.broadcast(table)
 
-    asked = requests.select("query_id", "from_stops", "to_stops", "start_time", "end_time")
-    found = asked.repartition(spark.sparkContext.defaultParallelism, "query_id").mapInPandas(run, f"query_id int, journey_id int, legs array<{LEG}>")
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield answer(shared.value, batch)
+
+        found = asked.repartition(spark.sparkContext.defaultParallelism, "query_id").mapInPandas(run, schema)
     measured = journeys.measure(found)
     return measured.select("query_id", "journey_id", "departure", "arrival", F.col("vehicles").cast("int").alias("vehicles"), "travel_time", "walking_time", "legs")
 
 
-def plan_by_rounds(requests: DataFrame, planner: Planner, kind: str) -> DataFrame:
-    """Times only (legs null), all requests of one window at once. Requests are grouped by window; there should be few windows."""
-    spark = requests.sparkSession
-    own, paths = planner._connections(), planner._walks()
-    out = spark.createDataFrame([], JOURNEYS)
-    none = F.lit(None)
-    for w in requests.select("start_time", "end_time").distinct().toLocalIterator():
-        asked = requests.where((F.col("start_time") == w["start_time"]) & (F.col("end_time") == w["end_time"]))
-        ends = lambda c, asked=asked: asked.select("query_id", F.explode(c).alias("stop"))
-        if kind == "latest":
-            found = rounds.latest_departures(own, ends("to_stops"), w["start_time"], w["end_time"], planner.profile.transfer, paths)
-            best = found.join(ends("from_stops"), ["query_id", "stop"]).groupBy("query_id").agg(F.max("departure").alias("departure"))
-            rows = best.select("query_id", F.lit(0).alias("journey_id"), "departure", none.cast("bigint").alias("arrival"))
-        else:
-            found = rounds.earliest_arrivals(own, ends("from_stops"), w["start_time"], w["end_time"], planner.profile.transfer, paths)
-            best = found.join(ends("to_stops"), ["query_id", "stop"]).groupBy("query_id").agg(F.min("arrival").alias("arrival"))
-            rows = best.select("query_id", F.lit(0).alias("journey_id"), none.cast("bigint").alias("departure"), "arrival")
-        out = out.unionByName(rows, allowMissingColumns=True)
-    return out
+def _answer(profile: Profile, kind: str) -> Callable[[kernel.Timetable, pd.DataFrame], pd.DataFrame]:
+    """Rows (query_id, journey_id, legs) of requests, by scans of a timetable."""
+    transfer, most, legacy = profile.transfer, profile.max_transfers, profile.legacy_transfer
+
+    def answer(table: kernel.Timetable, batch: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in batch.itertuples(index=False):
+            ask = (table, list(r.from_stops), list(r.to_stops), int(r.start_time), int(r.end_time), transfer)
+            if kind == "all":
+                found = kernel.all_journeys(*ask, legacy_transfer=legacy, max_vehicles=None if most is None else most + 1)
+            else:
+                one = (kernel.earliest_arrival if kind == "earliest" else kernel.latest_departure)(*ask)
+                found = [] if one is None else [one]
+            names = ("kind", "conn_id", "trip_id", "from_stop", "to_stop", "dep", "arr")
+            out += [(int(r.query_id), k, [dict(zip(names, x)) for x in legs]) for k, legs in enumerate(found)]
+        return pd.DataFrame(out, columns=["query_id", "journey_id", "legs"])
+
+    return answer
+
+
+def _by_request(asked: DataFrame, window: DataFrame, paths: DataFrame, profile: Profile, answer: Callable, schema: str) -> DataFrame:
+    """Each request scanned over the trips of its window that it can board and that still lead to its targets, whole, and the walks between such stops.
+
+    Rounds run for all requests of one window at once; there should be few windows. A request's own trips meet in one task.
+    """
+    # Without the enforced transfer, scans of the profile change after a second.
+    transfer = min(profile.transfer, 1) if profile.legacy_transfer else profile.transfer
+    paths = stored(paths, "walks")
+    trips, walked = [], []
+    for w in asked.select("start_time", "end_time").distinct().toLocalIterator():
+        start, end = w["start_time"], w["end_time"]
+        own = asked.where((F.col("start_time") == start) & (F.col("end_time") == end))
+        live = window.where((F.col("dep_time") >= start) & (F.col("dep_time") < end) & (F.col("arr_time") <= end))
+        ends = lambda c, own=own: own.select("query_id", F.explode(c).alias("stop")).distinct()
+        reached = rounds.earliest_arrivals(window, ends("from_stops"), start, end, transfer, paths)
+        leads = rounds.latest_departures(window, ends("to_stops"), start, end, transfer, paths)
+        board = reached.join(live.where(can_get_on()), F.col("stop") == F.col("dep_stop")).where(F.col("dep_time") >= F.col("ready")).groupBy("query_id", "trip_id").agg(F.min("dep_time").alias("boarded"))
+        leave = leads.join(live.where(can_get_off()), F.col("stop") == F.col("arr_stop")).where(F.col("arr_time") <= F.col("ready")).groupBy("query_id", "trip_id").agg(F.max("dep_time").alias("left"))
+        trips.append(board.join(leave, ["query_id", "trip_id"]).where(F.col("boarded") <= F.col("left")).select("query_id", "trip_id"))
+        on = reached.select("query_id", F.col("stop").alias("from_stop")).join(paths, "from_stop")
+        walked.append(on.join(leads.select("query_id", F.col("stop").alias("to_stop")), ["query_id", "to_stop"]).select("query_id", "from_stop", "to_stop", "secs"))
+    rides = reduce(DataFrame.unionByName, trips).distinct().join(window, "trip_id").select("query_id", *window.columns)
+    foot = reduce(DataFrame.unionByName, walked).distinct().select("query_id", F.col("from_stop").alias("dep_stop"), F.col("to_stop").alias("arr_stop"), F.col("secs").cast("bigint").alias("dep_time"), F.lit(0).cast("bigint").alias("arr_time"), F.lit(0).cast("smallint").alias("mode"))
+    pieces = rides.unionByName(foot, allowMissingColumns=True)
+
+    def run(requests: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        names = ["conn_id", "dep_stop", "arr_stop", "dep_time", "arr_time", "mode", "trip_id"]
+        ride = own["conn_id"].notna()
+        rows = [tuple(r) for r in own.loc[ride, names].itertuples(index=False)]
+        return answer(kernel.Timetable.of(rows, [tuple(r) for r in own.loc[~ride, ["dep_stop", "arr_stop", "dep_time"]].itertuples(index=False)]), requests)
+
+    return asked.groupBy("query_id").cogroup(pieces.groupBy("query_id")).applyInPandas(run, schema)
