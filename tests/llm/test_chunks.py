@@ -78,5 +78,13 @@ def test_insertions_shift_little():
     assert lengths[: counts[0]].tolist() == [len(c) for c in chunk(raw)] and lengths[counts[0] :].tolist() == [len(c) for c in chunk(shifted)]
 
 
+def test_short_whole_copies(spark):
+    texts = ["a short text", "a short text", "another one of more than a chunk: " + "abc def ghi " * 5, "another one of more than a chunk: " + "abc def ghi " * 5, "alone"]
+    out = {r["doc_id"]: r for r in chunks.substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [out[k]["n_repeated"] for k in range(5)] == [len(t) for t in texts[:4]] + [0]
+    assert [out[k]["has_repeat"] for k in range(5)] == [True] * 4 + [False]
+    assert sorted(out[k]["n_removed"] for k in (0, 1)) == [0, len(texts[0])] and sorted(out[k]["n_removed"] for k in (2, 3))[1] == len(texts[2])
+
+
 def test_no_rows(spark):
     assert chunks.substring_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -2,7 +2,7 @@
 
 A gear rolling hash over the last 32 bytes cuts each text where its top bits are zero, so that cuts move with the content and an insertion
 changes the chunks around it only. Chunks are named by digest. A chunk whose digest stands elsewhere is a repeat; runs of
-repeats are removed where they are at least least bytes long, but for each chunk's first place in the order of keys.
+repeats are removed where they are at least least bytes long or a whole text, but for each chunk's first place in the order of keys.
 
 Defined results: a null or empty text has no chunks and nothing removed; rows alike in id and text are one document counted as often as it
 stands, and answered alike: they keep the chunk's first place together; an empty table gives an empty result. Extra columns are
@@ -106,7 +106,7 @@ def substring_dedup(docs: DataFrame, passage: int = PASSAGE, id_col: str = "doc_
                 out: list[list] = [[] for _ in range(5)]
                 for k, repeats in enumerate(part.column(2).to_pylist()):
                     own = raw[offsets[k] : offsets[k + 1]]
-                    held, s, e = repeated_spans(repeats or [], passage)
+                    held, s, e = repeated_spans(repeats or [], passage, len(own))
                     kept = b"".join(own[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(own)]))
                     for x, v in zip(out, (held, len(own) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), held > 0)):
                         x.append(v)
@@ -117,8 +117,8 @@ def substring_dedup(docs: DataFrame, passage: int = PASSAGE, id_col: str = "doc_
     return out.withColumnRenamed("id", id_col)
 
 
-def repeated_spans(repeats: list[dict], passage: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Bytes in passages of repeated chunks, and the spans to remove: those passages without the chunks that stand there first."""
+def repeated_spans(repeats: list[dict], passage: int, size: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Bytes in passages of repeated chunks (a text of size bytes that is all repeated is one, however short), and the spans to remove: those passages without the chunks that stand there first."""
     if not repeats:
         return 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
     repeats = sorted(repeats, key=lambda r: r["start"])
@@ -126,7 +126,7 @@ def repeated_spans(repeats: list[dict], passage: int) -> tuple[int, np.ndarray,
     e = s + np.array([r["length"] for r in repeats], np.int64)
     first = np.array([r["first"] for r in repeats])
     a, b = merged_runs(s, e)
-    long = b - a >= passage
+    long = (b - a >= passage) | (b - a == size)
     inside = long[np.searchsorted(a, s, "right") - 1]
     removed = merged_runs(s[inside & ~first], e[inside & ~first])
     return int((b - a)[long].sum()), *removed
