@@ -6,21 +6,29 @@ import numpy as np
 import pytest
 
 import brute
-from tramline.llm import suffixes
+from tramline.llm import kernels, suffixes
 
 
-def expected(rows, length):
-    raw = [(t or "").encode() for _, t in rows]
+def covered(raw, length):
+    """For each text, which bytes a repeated string of the length covers."""
     n = Counter(x[i : i + length] for x in raw for i in range(len(x) - length + 1))
     out = []
-    for (d, _), x in zip(rows, raw):
+    for x in raw:
         gone = np.zeros(len(x) + 1, bool)
         for i in range(len(x) - length + 1):
             if n[x[i : i + length]] > 1:
                 gone[i : i + length] = True
+        out.append(gone)
+    return out
+
+
+def expected(rows, length, passage):
+    raw = [(t or "").encode() for _, t in rows]
+    out = []
+    for (d, _), x, gone, short in zip(rows, raw, covered(raw, length), covered(raw, passage)):
         kept = bytes(b for b, g in zip(x, gone) if not g)
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        out.append((d, len(x), len(x) - len(kept), spans, brute.sha(kept)))
+        out.append((d, len(x), len(x) - len(kept), spans, brute.sha(kept), int(short.sum())))
     return sorted(out, key=lambda r: (r[0] is None, str(r)))
 
 
@@ -34,7 +42,7 @@ def rows():
         own = " ".join(word() for _ in range(rnd.randint(1, 150)))
         if d % 3 == 0:
             a = rnd.randint(0, 200)
-            own = own + passage[a : a + rnd.randint(300, 700)] + word()
+            own = own + passage[a : a + rnd.choice([280, 320, 400, 700])] + word()
         if d % 7 == 0:
             own = own[: len(own) // 2] + "*" + own[len(own) // 2 :]
         out.append((d, own))
@@ -44,19 +52,33 @@ def rows():
 
 
 def got(df):
-    return sorted((tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in df.collect()), key=lambda r: (r[0] is None, str(r)))
+    return sorted((tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated")) for r in df.collect()), key=lambda r: (r[0] is None, str(r)))
 
 
 def test_all_repeats(spark, rows):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, k1 int")
-    wanted = expected(rows, 400)
-    assert sum(r[2] > 0 for r in wanted) > 20
+    wanted = expected(rows, 400, 250)
+    assert sum(r[2] > 0 for r in wanted) > 10 and sum(r[5] > r[2] for r in wanted) > 5
     assert got(suffixes.suffix_dedup(docs)) == wanted
 
 
 def test_anchors_spread_over_shards(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert got(suffixes.suffix_dedup(docs, length=100, shard=1500)) == expected(rows, 100)
+    assert got(suffixes.suffix_dedup(docs, length=100, passage=60, shard=1500)) == expected(rows, 100, 60)
+
+
+def test_long_texts_in_pieces(spark, rows):
+    some = rows[:40] + rows[80:]
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    assert got(suffixes.suffix_dedup(docs, length=100, passage=60, piece=700)) == expected(some, 100, 60)
+
+
+def test_hashes_in_stretches(monkeypatch):
+    data = np.frombuffer(random.Random(1).randbytes(9000), np.uint8)
+    starts = np.arange(0, 8000, 3)
+    whole = kernels.span_hashes(data, starts, starts + 50, 2)
+    monkeypatch.setattr(kernels, "PIECE", 100)
+    assert (kernels.span_hashes(data, starts, starts + 50, 2) == whole).all()
 
 
 def test_no_rows(spark):
@@ -75,7 +97,10 @@ def test_suffix_array_and_prefixes(seed):
     # The end of a part sorts first, by part.
     suffix = lambda i: [b + 1000 for b in data[i : i + left[i]].tolist()] + [int(np.searchsorted(ends, i, "right"))]
     assert sa.tolist() == sorted(range(len(data)), key=suffix)
-    shared = suffixes.common_prefixes(sa, packed, left, ends - sizes, sizes, 1 << 20)
-    for a, b in zip(sa[:-1].tolist(), sa[1:].tolist()):
-        x, y = suffix(a)[:-1], suffix(b)[:-1]
-        assert shared[b] == next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+    for windows in (sizes, np.maximum(sizes - 5, 0)):
+        ranked, shared = suffixes.common_prefixes(sa, packed, left, ends - sizes, windows, 1 << 20)
+        first = {i for s, n in zip((ends - sizes).tolist(), windows.tolist()) for i in range(s, s + n)}
+        assert ranked.tolist() == [i for i in sa.tolist() if i in first]
+        for a, b, n in zip(ranked[:-1].tolist(), ranked[1:].tolist(), shared[1:].tolist()):
+            x, y = suffix(a)[:-1], suffix(b)[:-1]
+            assert n == next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))

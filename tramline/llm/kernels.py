@@ -81,8 +81,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACES)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of each span, equal for equal bytes wherever they stand."""
+def _hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
     n = len(data)
     sums = np.zeros(n + 1, U)
     values = mix(data.astype(U) + U(257 + salt * 1009)) if n < 256 else mix(np.arange(256, dtype=U) + U(257 + salt * 1009))[data]
@@ -91,6 +90,23 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: in
     return mix(h ^ ((ends - starts).astype(U) * U(MIX[1])))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span, equal for equal bytes wherever they stand. starts must not fall.
+
+    Long data are worked on in stretches of spans, so that memory is bounded by PIECE and the longest span.
+    """
+    if len(data) <= 4 * PIECE or not len(starts):
+        return _hashes_of(data, starts, ends, salt)
+    out = np.empty(len(starts), U)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + PIECE)))
+        a, b = int(starts[at]), int(ends[at:to].max())
+        out[at:to] = _hashes_of(data[a:b], starts[at:to] - a, ends[at:to] - a, salt)
+        at = to
+    return out
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """The distinct word shingles of each text, as sorted hashes: (hashes, offsets).
 

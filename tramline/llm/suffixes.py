@@ -1,16 +1,19 @@
 """Exact substring dedup by suffix arrays: every byte covered by a string of LENGTH bytes that also starts elsewhere goes.
 
-1. Windows of LENGTH bytes are dealt out by content: a window's anchor is the 32-byte gram of least hash in it, so equal windows have
-   equal anchors wherever they stand. The windows in a row that share an anchor are one context. An anchor that stands once has no repeats.
+Repeats of PASSAGE bytes or more are reported too, and stay: the same suffix arrays give both.
+
+1. Windows of PASSAGE bytes are dealt out by content: a window's anchor is the 32-byte gram of least hash in it, so equal windows have
+   equal anchors wherever they stand. The windows in a row that share an anchor are one context: the bytes from its first window's
+   start up to LENGTH bytes past its last one's, or to the text's end. An anchor that stands once has no repeats.
 2. Contexts alike are counted; those that stand twice are repeats whole. One row of each context of an anchor with others goes on.
 3. Anchors are dealt to shards of some megabytes. In each, a suffix array of the contexts is built by Larsson-Sadakane refinement, and
-   Kasai's pass gives common prefixes with the suffix before: LENGTH or more marks both windows.
+   Kasai's pass gives common prefixes with the window before in its order: LENGTH or more (PASSAGE or more) marks both windows.
 4. An anchor with more contexts than a shard holds is spread over several. Each sends the sorted digests of its windows, cut in
    ranges, and ranges are merged by binary search.
-5. The spans of each text are united and cut out.
+5. The spans of each text are united; those of LENGTH are cut out.
 
-Defined results: a null or empty text, and one shorter than LENGTH, loses nothing; rows alike are occurrences of their own and are
-answered alike; an empty table gives an empty result. Extra columns are not read.
+Defined results: a null or empty text, and one shorter than PASSAGE, loses and repeats nothing; rows alike are occurrences of their own
+and are answered alike; a very long text is read in overlapping pieces; an empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_keys, stored
-from .kernels import U, merged_runs, span_hashes, text_pieces
+from .kernels import PIECE, U, merged_runs, mix, span_hashes, text_pieces
 
 LENGTH, GRAM = 400, 32
+#: Bytes from which a repeat is reported, though it may be too short to be removed: fifty words of five letters.
+PASSAGE = 250
 #: Bytes of contexts in a shard.
 SHARD = 1 << 20
 #: Low bits that hold a gram's place while the least hash is sought; equal hashes yield the first.
@@ -44,29 +49,35 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Runs of windows that share an anchor: (text, first window's start in the text, windows, anchor's hash, context's hash)."""
-    width = length - GRAM + 1
+def contexts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, passage: int = PASSAGE, most: int | None = None) -> tuple[np.ndarray, ...]:
+    """Runs of windows that share an anchor: (text, first window's start in the text, windows, bytes, anchor's hash, context's hash).
+
+    most: windows of a text that are taken, where the rest are another piece's.
+    """
+    width = passage - GRAM + 1
     n = len(data) - GRAM + 1
-    empty = np.zeros(0, np.int64)
-    if n < width:
-        return empty, empty, empty, empty.view(U), empty.view(U)
+    sizes = np.diff(offsets)
+    windows = np.maximum(sizes - passage + 1, 0)
+    if most is not None:
+        windows = np.minimum(windows, most)
+    if n < width or not windows.any():
+        empty = np.zeros(0, np.int64)
+        return empty, empty, empty, empty, empty.view(U), empty.view(U)
     places = np.arange(n)
     hashes = span_hashes(data, places, places + GRAM)
     least = sliding_least((hashes >> U(PLACE) << U(PLACE)) | places.astype(U), width)
     anchor = (least & U((1 << PLACE) - 1)).astype(np.int64)
-    sizes = np.diff(offsets)
-    text = np.repeat(np.arange(len(sizes)), np.maximum(sizes - length + 1, 0))
-    if not len(text):
-        return empty, empty, empty, empty.view(U), empty.view(U)
-    windows = np.maximum(sizes - length + 1, 0)
+    text = np.repeat(np.arange(len(sizes)), windows)
     start = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows) + offsets[text]
     own = anchor[start]
     new = np.concatenate([[True], (own[1:] != own[:-1]) | (text[1:] != text[:-1])])
     first = np.flatnonzero(new)
     count = np.diff(np.concatenate([first, [len(text)]]))
     begin = start[first]
-    return text[first], begin - offsets[text[first]], count, hashes[own[first]], span_hashes(data, begin, begin + count - 1 + length, 1)
+    end = np.minimum(begin + count - 1 + length, offsets[text[first] + 1])
+    # Contexts alike in bytes but not in windows, as at the end of a text, are told apart.
+    names = mix(span_hashes(data, begin, end, 1) + count.astype(U))
+    return text[first], begin - offsets[text[first]], count, end - begin, hashes[own[first]], names
 
 
 def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,16 +140,21 @@ def leading_zero_bytes(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def common_prefixes(sa: np.ndarray, packed: np.ndarray, left: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
-    """For the first sizes positions from each start the length shared with the suffix before, up to most. Kasai's pass: along a part the length falls by one at most.
+def common_prefixes(sa: np.ndarray, packed: np.ndarray, left: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows (the first sizes positions from each start) in the order of the suffix array, and the length each shares with the one before, up to most.
 
-    All parts take their steps together, and compare eight bytes at a time.
+    Kasai's pass: along a part the length falls by one at most, as long as the window before moves along with it. All
+    parts take their steps together, and compare eight bytes at a time.
     """
     n = len(sa)
+    window = np.zeros(n + 1, bool)
+    window[np.repeat(starts, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = True
+    ranked = sa[window[sa]]
     before = np.full(n, -1, np.int64)
-    before[sa[1:]] = sa[:-1]
+    before[ranked[1:]] = ranked[:-1]
     out = np.zeros(n, np.int64)
     length = np.zeros(len(starts), np.int64)
+    met = np.zeros(len(starts), bool)
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[order], sizes[order]
     live = len(starts)
@@ -147,9 +163,9 @@ def common_prefixes(sa: np.ndarray, packed: np.ndarray, left: np.ndarray, starts
             live -= 1
         i = starts[:live] + step
         j = before[i]
-        own = np.maximum(length[:live] - 1, 0)
-        own[j < 0] = 0
+        own = np.where(met[:live] & (j >= 0), np.maximum(length[:live] - 1, 0), 0)
         top = np.where(j >= 0, np.minimum(np.minimum(left[i], left[j]), most), 0)
+        own = np.minimum(own, top)
         go = np.flatnonzero(own < top)
         while len(go):
             x = packed[i[go] + own[go]] ^ packed[j[go] + own[go]]
@@ -161,36 +177,50 @@ def common_prefixes(sa: np.ndarray, packed: np.ndarray, left: np.ndarray, starts
             go = go[own[go] < top[go]]
         out[i] = own
         length[:live] = own
-    return out
+        # The next suffix of the window before is a window too, and so stands before the next one here.
+        met[:live] = window[j + 1] & (j >= 0)
+    return ranked, out[ranked]
 
 
-def repeated_windows(parts: list[bytes], windows: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which windows of the parts (the first so many positions of each) stand twice or more: (repeated by position, starts of parts, bytes)."""
+def repeated_windows(parts: list[bytes], windows: np.ndarray, lengths: tuple[int, ...] = (PASSAGE, LENGTH)) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Which windows of the parts (the first so many positions of each) share each of the lengths with another: (repeated by position, a list), starts of parts, bytes."""
     data = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.array([len(p) for p in parts], np.int64)
     ends = np.cumsum(sizes)
     sa, _, packed, left = suffix_array(data, ends)
-    # Only windows can share so much; they are the first positions of their part.
-    shared = common_prefixes(sa, packed, left, ends - sizes, np.asarray(windows, np.int64), length)
-    repeated = np.zeros(len(data), bool)
-    hit = np.flatnonzero(shared[sa[1:]] >= length) + 1
-    repeated[sa[hit]] = True
-    repeated[sa[hit - 1]] = True
-    return repeated, ends - sizes, data
+    ranked, shared = common_prefixes(sa, packed, left, ends - sizes, np.asarray(windows, np.int64), max(lengths))
+    found = []
+    for length in lengths:
+        repeated = np.zeros(len(data), bool)
+        hit = np.flatnonzero(shared[1:] >= length) + 1
+        repeated[ranked[hit]] = True
+        repeated[ranked[hit - 1]] = True
+        found.append(repeated)
+    return found, ends - sizes, data
 
 
-CONTEXTS = "k1 long, k2 long, key long, c1 long, start int, windows int"
-FOUND = "k1 long, k2 long, s int, e int, key long, part int, sub int, digests binary, checks binary, places binary"
+#: kind 0 is a repeat of PASSAGE bytes, kind 1 one of LENGTH.
+CONTEXTS = "k1 long, k2 long, key long, c1 long, start long, windows int, bytes int"
+FOUND = "k1 long, k2 long, kind byte, s long, e long, key long, part int, sub int, digests binary, checks binary, places binary"
+SPANS = "k1 long, k2 long, kind byte, s long, e long"
 
 
-def context_rows(rows: DataFrame, length: int) -> DataFrame:
+def context_rows(rows: DataFrame, length: int, passage: int, piece: int = PIECE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(part: pa.RecordBatch, at: int, text: np.ndarray, start: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
+            count, size, key, c1 = rest
+            k1, k2 = (np.asarray(part.column(i))[text] for i in range(2))
+            columns = (k1, k2, key.view(np.int64), c1.view(np.int64), start + at, count.astype(np.int32), size.astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["k1", "k2", "key", "c1", "start", "windows", "bytes"])
+
         for batch in batches:
-            for part, data, offsets in text_pieces(batch):
-                text, start, count, key, c1 = contexts(data, offsets, length)
-                k1, k2 = (np.asarray(part.column(i))[text] for i in range(2))
-                if len(text):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, key.view(np.int64), c1.view(np.int64), start.astype(np.int32), count.astype(np.int32))], names=["k1", "k2", "key", "c1", "start", "windows"])
+            for part, data, offsets in text_pieces(batch, limit=piece):
+                if len(data) <= 2 * piece or part.num_rows > 1:
+                    yield made(part, 0, *contexts(data, offsets, length, passage))
+                    continue
+                for at in range(0, len(data), piece):
+                    own = data[at : at + piece + length]
+                    yield made(part, at, *contexts(own, np.array([0, len(own)]), length, passage, piece))
 
     return rows.select("k1", "k2", "text").mapInArrow(run, CONTEXTS)
 
@@ -199,47 +229,56 @@ def spans_of_windows(places: np.ndarray, length: int) -> tuple[np.ndarray, np.nd
     return merged_runs(places, places + length)
 
 
-def shard_repeats(table: pa.Table, length: int) -> pa.Table:
+def shard_repeats(table: pa.Table, length: int, passage: int) -> pa.Table:
     """The spans that a shard finds for contexts standing once; for a spread anchor also its windows' digests, sorted and cut in ranges."""
     parts = table.column("bytes").to_pylist()
     windows, n, start, k1, k2 = (table.column(c).to_numpy() for c in ("windows", "n", "start", "k1", "k2"))
-    repeated, at, data = repeated_windows(parts, windows, length)
+    lengths = (passage, length)
+    found, at, data = repeated_windows(parts, windows, lengths)
     ranges = int(table.column("parts")[0].as_py())
-    out: dict[str, list] = {c: [] for c in ("k1", "k2", "s", "e", "key", "part", "sub", "digests", "checks", "places")}
+    out: dict[str, list] = {c.split()[0]: [] for c in FOUND.split(", ")}
 
     def add(**row: object) -> None:
         for c, own in out.items():
             own.append(row.get(c))
 
-    for i in np.flatnonzero(n == 1).tolist():
-        s, e = spans_of_windows(np.flatnonzero(repeated[at[i] : at[i] + windows[i]]) + int(start[i]), length)
-        for a, b in zip(s.tolist(), e.tolist()):
-            add(k1=int(k1[i]), k2=int(k2[i]), s=a, e=b)
+    for kind, (size, repeated) in enumerate(zip(lengths, found)):
+        for i in np.flatnonzero(n == 1).tolist():
+            s, e = spans_of_windows(np.flatnonzero(repeated[at[i] : at[i] + windows[i]]) + int(start[i]), size)
+            for a, b in zip(s.tolist(), e.tolist()):
+                add(k1=int(k1[i]), k2=int(k2[i]), kind=kind, s=a, e=b)
     if ranges > 1:
         part = np.repeat(np.arange(len(parts)), windows)
         offset = np.arange(len(part)) - np.repeat(np.cumsum(windows) - windows, windows)
-        place = at[part] + offset
-        first, second = (span_hashes(data, place, place + length, salt) for salt in (2, 3))
-        open_ = (n[part] == 1) & ~repeated[place]
-        # Of windows alike in this shard one is enough.
-        order = np.lexsort((~open_, first))
-        order = order[np.concatenate([[True], first[order][1:] != first[order][:-1]])]
-        record = np.zeros(len(order), [("k1", np.int64), ("k2", np.int64), ("at", np.int64)])
-        own = part[order]
-        record["k1"], record["k2"] = k1[own], k2[own]
-        record["at"] = np.where(open_[order], start[own] + offset[order], -1)
-        cut = np.searchsorted(first[order], (np.arange(1, ranges, dtype=np.float64) * (2.0**64 / ranges)).astype(U))
-        key, sub = int(table.column("key")[0].as_py()), int(table.column("sub")[0].as_py())
-        for r, (a, b) in enumerate(zip([0, *cut.tolist()], [*cut.tolist(), len(order)])):
-            if b > a:
-                add(key=key, part=r, sub=sub, digests=first[order][a:b].tobytes(), checks=second[order][a:b].tobytes(), places=record[a:b].tobytes())
-    kinds = {"k1": pa.int64(), "k2": pa.int64(), "s": pa.int32(), "e": pa.int32(), "key": pa.int64(), "part": pa.int32(), "sub": pa.int32(), "digests": pa.binary(), "checks": pa.binary(), "places": pa.binary()}
-    return pa.table({c: pa.array(own, kinds[c]) for c, own in out.items()})
-
-
-def merge_ranges(table: pa.Table, length: int) -> pa.Table:
+        ends = np.append(at[1:], len(data))[part]
+        for kind, (size, repeated) in enumerate(zip(lengths, found)):
+            fits = at[part] + offset + size <= ends
+            own_part, own_offset = part[fits], offset[fits]
+            place = at[own_part] + own_offset
+            first, second = (span_hashes(data, place, place + size, salt) for salt in (2, 3))
+            open_ = (n[own_part] == 1) & ~repeated[place]
+            # Of windows alike in this shard one is enough.
+            order = np.lexsort((~open_, first))
+            if not len(order):
+                continue
+            order = order[np.concatenate([[True], first[order][1:] != first[order][:-1]])]
+            record = np.zeros(len(order), [("k1", np.int64), ("k2", np.int64), ("at", np.int64)])
+            own = own_part[order]
+            record["k1"], record["k2"] = k1[own], k2[own]
+            record["at"] = np.where(open_[order], start[own] + own_offset[order], -1)
+            cut = np.searchsorted(first[order], (np.arange(1, ranges, dtype=np.float64) * (2.0**64 / ranges)).astype(U))
+            key, sub = int(table.column("key")[0].as_py()), int(table.column("sub")[0].as_py())
+            for r, (a, b) in enumerate(zip([0, *cut.tolist()], [*cut.tolist(), len(order)])):
+                if b > a:
+                    add(kind=kind, key=key, part=r, sub=sub, digests=first[order][a:b].tobytes(), checks=second[order][a:b].tobytes(), places=record[a:b].tobytes())
+    kinds = {"long": pa.int64(), "byte": pa.int8(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.table({c.split()[0]: pa.array(out[c.split()[0]], kinds[c.split()[1]]) for c in FOUND.split(", ")})
+
+
+def merge_ranges(table: pa.Table, length: int, passage: int) -> pa.Table:
     """Open windows of any shard whose digest another shard of the anchor holds too: binary search of each sorted run in their merger."""
-    runs = [tuple(np.frombuffer(row[c], kind) for c, kind in (("digests", U), ("checks", U), ("places", [("k1", np.int64), ("k2", np.int64), ("at", np.int64)]))) for row in table.select(["digests", "checks", "places"]).to_pylist()]
+    kind = int(table.column("kind")[0].as_py())
+    runs = [tuple(np.frombuffer(row[c], of) for c, of in (("digests", U), ("checks", U), ("places", [("k1", np.int64), ("k2", np.int64), ("at", np.int64)]))) for row in table.select(["digests", "checks", "places"]).to_pylist()]
     every = np.concatenate([d for d, _, _ in runs])
     order = np.argsort(every, kind="stable")
     every, checks = every[order], np.concatenate([c for _, c, _ in runs])[order]
@@ -255,26 +294,26 @@ def merge_ranges(table: pa.Table, length: int) -> pa.Table:
     if len(hits):
         new = np.flatnonzero(np.concatenate([[True], (hits["k1"][1:] != hits["k1"][:-1]) | (hits["k2"][1:] != hits["k2"][:-1])]))
         for a, b in zip(new.tolist(), [*new[1:].tolist(), len(hits)]):
-            for s, e in zip(*(x.tolist() for x in spans_of_windows(hits["at"][a:b], length))):
+            for s, e in zip(*(x.tolist() for x in spans_of_windows(hits["at"][a:b], (passage, length)[kind]))):
                 for own, v in zip(out, (int(hits["k1"][a]), int(hits["k2"][a]), s, e)):
                     own.append(v)
-    return pa.table({c: pa.array(v, t) for c, v, t in zip(("k1", "k2", "s", "e"), out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))})
+    k1, k2, s, e = (pa.array(v, pa.int64()) for v in out)
+    return pa.table({"k1": k1, "k2": k2, "kind": pa.array([kind] * len(k1), pa.int8()), "s": s, "e": e})
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans (maximal runs removed) and kept_sha256.
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, shard: int = SHARD, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans (maximal runs removed), kept_sha256, and n_repeated: bytes in strings of passage bytes that also start elsewhere.
 
-    Texts move twice, dealt by id and text: to cut the contexts that shards need, and to cut out what repeats.
+    Texts move twice, dealt by id and text: to cut the contexts that shards need, and to cut out what repeats. passage is at most length.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", "text", *row_keys("id"))
-    runs = stored(context_rows(rows, length), "contexts")
-    seen = runs.groupBy("key", "c1").agg(F.count("*").alias("n"), F.min_by("k2", "k1").alias("k2"), F.min_by("start", "k1").alias("start"), F.max("windows").alias("windows"), F.min("k1").alias("k1"))
-    seen = stored(seen, "distinct-contexts")
-    size = F.sum(F.col("windows").cast("long") + length - 1)
-    keys = seen.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once"), size.alias("size")).where("m > 1 AND once > 0").select("key", "size")
+    runs = stored(context_rows(rows, length, passage, piece), "contexts")
+    seen = runs.groupBy("key", "c1").agg(F.count("*").alias("n"), F.min_by(F.struct("k2", "start", "windows", "bytes"), "k1").alias("at"), F.min("k1").alias("k1"))
+    seen = stored(seen.select("key", "c1", "n", "k1", "at.*"), "distinct-contexts")
+    keys = seen.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once"), F.sum(F.col("bytes").cast("long")).alias("size")).where("m > 1 AND once > 0").select("key", "size")
     keys = stored(keys, "anchors")
     shards = max(1, -(-int(keys.where(F.col("size") <= shard).agg(F.sum("size")).first()[0] or 0) // shard))
-    wanted = seen.join(keys, "key").groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "c1", "n", "start", "windows", "size")).alias("cut"))
+    wanted = seen.join(keys, "key").groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "c1", "n", "start", "windows", "bytes", "size")).alias("cut"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["k1", "k2", "key", "c1", "n", "start", "windows", "size", "bytes"]
@@ -285,36 +324,40 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, id_c
                 for k, (k1, k2, own) in enumerate(zip(*(part.column(i).to_pylist() for i in (0, 1, 3)))):
                     for c in own:
                         at = int(offsets[k]) + c["start"]
-                        out.append((k1, k2, c["key"], c["c1"], c["n"], c["start"], c["windows"], c["size"], raw[at : at + c["windows"] - 1 + length]))
+                        out.append((k1, k2, c["key"], c["c1"], c["n"], c["start"], c["windows"], c["size"], raw[at : at + c["bytes"]]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (*[pa.int64()] * 5, pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (*[pa.int64()] * 6, pa.int32(), pa.int64(), pa.binary()))], names=names)
 
     texts = rows.select("k1", "k2", "text").join(wanted.hint("shuffle_hash"), ["k1", "k2"])
-    parts = texts.mapInArrow(cut, "k1 long, k2 long, key long, c1 long, n long, start int, windows int, size long, bytes binary").dropDuplicates(["k1", "k2", "start"])
+    parts = texts.mapInArrow(cut, "k1 long, k2 long, key long, c1 long, n long, start long, windows int, size long, bytes binary").dropDuplicates(["k1", "k2", "start"])
     spread = F.col("size") > shard
     count = F.when(spread, F.ceil(F.col("size") / shard)).otherwise(1).cast("int")
     parts = parts.withColumn("parts", count).withColumn("sub", F.when(spread, F.pmod(F.xxhash64("c1"), count)).otherwise(-1).cast("int"))
     parts = parts.withColumn("shard", F.when(spread, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(shards))))
-    found = parts.groupBy("shard", "sub").applyInArrow(lambda table: shard_repeats(table, length), FOUND)
-    found = stored(found, "repeats")
-    merged = found.where("key IS NOT NULL").select("key", "part", "sub", "digests", "checks", "places").groupBy("key", "part").applyInArrow(lambda table: merge_ranges(table, length), "k1 long, k2 long, s int, e int")
-    whole = runs.join(seen.where("n > 1").select("key", "c1"), ["key", "c1"], "left_semi").select("k1", "k2", F.col("start").alias("s"), (F.col("start") + F.col("windows") - 1 + length).alias("e"))
-    spans = found.where("key IS NULL").select("k1", "k2", "s", "e").unionByName(merged).unionByName(whole)
-    spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    found = stored(parts.groupBy("shard", "sub").applyInArrow(lambda table: shard_repeats(table, length, passage), FOUND), "repeats")
+    merged = found.where("key IS NOT NULL").select("key", "kind", "part", "sub", "digests", "checks", "places").groupBy("key", "kind", "part").applyInArrow(lambda table: merge_ranges(table, length, passage), SPANS)
+    # Contexts that stand twice repeat whole: all windows of passage bytes, and of length bytes those that do not reach past the text.
+    twice = runs.join(seen.where("n > 1").select("key", "c1"), ["key", "c1"], "left_semi")
+    last = F.col("start") + F.col("windows") - 1 + passage
+    both = [F.struct(F.lit(0).cast("byte").alias("kind"), F.col("start").alias("s"), last.alias("e")), F.struct(F.lit(1).cast("byte").alias("kind"), F.col("start").alias("s"), (F.col("start") + F.col("bytes")).alias("e"))]
+    whole = twice.select("k1", "k2", F.explode(F.array(*both)).alias("x")).select("k1", "k2", "x.*").where((F.col("kind") == 0) | (F.col("e") - F.col("s") >= length))
+    spans = found.where("key IS NULL").select("k1", "k2", "kind", "s", "e").unionByName(merged).unionByName(whole)
+    spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("kind", "s", "e")).alias("spans"))
     held = rows.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select("id", "text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in text_pieces(batch):
                 raw = data.tobytes()
-                out: list[list] = [[], [], []]
+                out: list[list] = [[], [], [], []]
                 for k, own in enumerate(part.column(2).to_pylist()):
                     text = raw[offsets[k] : offsets[k + 1]]
-                    s, e = merged_runs(*(np.array([x[c] for x in own or []], np.int64) for c in "se"))
-                    kept = b"".join(text[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(text)]))
-                    for x, v in zip(out, (len(text) - len(kept), len(s), hashlib.sha256(kept).hexdigest())):
+                    (a, b), (s, e) = (merged_runs(*(np.array([x[c] for x in own or [] if x["kind"] == kind], np.int64) for c in "se")) for kind in (0, 1))
+                    kept = b"".join(text[i:j] for i, j in zip([0, *e.tolist()], [*s.tolist(), len(text)]))
+                    for x, v in zip(out, (len(text) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), int((b - a).sum()))):
                         x.append(v)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                columns = [part.column(0), pa.array(np.diff(offsets)), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.int64())))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return held.mapInArrow(remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
+    return held.mapInArrow(remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long").withColumnRenamed("id", id_col)
