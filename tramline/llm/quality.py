@@ -1,11 +1,22 @@
 """Quality rules: base statistics of each text, and robust multivariate outliers by minimum-covariance-determinant estimates.
 
-DataFrame functions only. The statistic vector of a text (see VECTOR) is kept as scaled integers, so that sums, and with
-them every decision, are the same in whatever order rows arrive.
+DataFrame functions only. The statistic vector of a text (see PARTS) is kept as scaled integers, so that sums, and with them every
+decision, are the same in whatever order rows arrive. Vectors alike are counted once, and estimates are found from these cells:
+
+1. For each language and source, each language, and the whole corpus, three starts take the half of the rows nearest a centre: by
+   the sum of squares and by the greatest of the parts' distances from their medians in quartile ranges, and by classical covariance.
+2. Concentration steps take the half of the rows nearest the last estimate, as long as the determinant falls. The start that ends with the
+   least determinant counts; its estimate is reweighed once.
+3. A group's estimate is drawn towards its language's, and that towards the corpus's, as if PRIOR_ROWS rows came from there.
+4. A text is judged by its Mahalanobis distance. To the covariance its own uncertainty is added: a share of few words or lines is
+   known less well than one of many (the variance of a count is the count).
+
+A covariance is floored at the variance of rounding only.
 
 Defined results: a null or empty text has no words and fails the base rule; languages and sources may be null, and a null is a
-group of its own; a group of few rows, or of rows all alike, is judged by the least spreads alone; repeated rows stand as rows of
-their own and are judged alike; an empty table gives an empty result. Extra columns are not read.
+group of its own; a group of few rows, or of rows all alike, is judged by its language's and the corpus's estimates too; repeated rows
+stand as rows of their own and are judged alike; a very long text is one row of words and windows, in memory some fifty times its
+size; an empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -17,17 +28,22 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, WORD, row_keys, stored
 
-#: Names of the vector's parts and the least spread that each is given (added to its variance), so that a part which is constant
-#: among clean texts does not reject a text for one stray symbol or one repeated line.
-VECTOR = {"length": 0.05, "symbols": 0.03, "repeats": 0.15, "lines": 0.15}
-DIM = len(VECTOR)
-#: Words and their mean length that a text is taken to have beside its own: the mean of a short text is uncertain.
-PRIOR_WORDS, PRIOR_LENGTH = 50, 5
+#: Parts of the vector: logarithm of the mean word length, and square roots of the shares of symbols, repeated words and duplicate lines.
+PARTS = ("length", "symbols", "repeats", "lines")
+DIM = len(PARTS)
+#: Words that a repeat counts at least: a window of five, twice.
+REPEAT = 10
 SCALE = 1024
-#: Part of a group's rows that the concentration steps keep, the number of steps, and the share of Gaussian data under which rows weigh in the last estimate.
-CORE, STEPS, WEIGHED = 0.5, 4, 0.975
+#: Part of a group's rows that the concentration steps keep, and the share of Gaussian data under which rows weigh in the last estimate.
+CORE, WEIGHED = 0.5, 0.975
+#: Steps of a distance's logarithm in which rows are counted.
+BINS = 64
+#: Rows of a larger group that an estimate is drawn towards.
+PRIOR_ROWS = 20
 #: Chance with which Gaussian data pass the final cut.
-REJECT = 1e-9
+REJECT = 1e-5
+#: Variance of rounding to whole numbers.
+ROUNDING = 1 / 12
 
 
 def chi2_cdf(x: float, dof: int) -> float:
@@ -85,85 +101,129 @@ def base_statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ..
 
 
 def vector() -> list[Column]:
-    """The transformed statistics as scaled integers, in the order of VECTOR: logarithm of the mean word length, and square roots of shares."""
+    """The transformed statistics as scaled integers (x0..), and the variance with which each is known (v0..), in the order of PARTS."""
     share = lambda a, b: F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1)))
-    parts = [
-        F.log((F.col("word_chars") + PRIOR_WORDS * PRIOR_LENGTH) / (F.col("n_words") + PRIOR_WORDS)),
-        share("n_symbols", "word_chars"),
-        share("n_repeat_words", "n_words"),
-        share("n_dup_lines", "n_lines"),
-    ]
-    return [F.round(p * SCALE).cast("long").alias(f"x{i}") for i, p in enumerate(parts)]
-
-
-def moments(rows: DataFrame, by: list[str], factor: float) -> DataFrame:
-    """Per group the mean (m), and the inverse Cholesky factor (w) of the covariance times factor with the least spreads added."""
-    x = [F.col(f"x{i}") for i in range(DIM)]
-    sums = [F.sum(x[i]).alias(f"s{i}") for i in range(DIM)] + [F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(DIM) for j in range(i + 1)]
-    df = rows.groupBy(*by).agg(F.count("*").alias("n"), *sums)
-    df = df.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(DIM)})
-    least = [(v * SCALE) ** 2 for v in VECTOR.values()]
-    df = df.withColumns({f"c{i}_{j}": factor * F.greatest(F.col(f"s{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"), F.lit(0.0) if i == j else F.lit(-1e300)) + (least[i] if i == j else 0.0) for i in range(DIM) for j in range(i + 1)})
-    for j in range(DIM):
-        done = sum((F.col(f"l{j}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))
-        df = df.withColumn(f"l{j}_{j}", F.sqrt(F.greatest(F.col(f"c{j}_{j}") - done, F.lit(least[j] / 2))))
-        for i in range(j + 1, DIM):
-            done = sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))
-            df = df.withColumn(f"l{i}_{j}", (F.col(f"c{i}_{j}") - done) / F.col(f"l{j}_{j}"))
-    for j in range(DIM):
-        df = df.withColumn(f"w{j}_{j}", 1 / F.col(f"l{j}_{j}"))
-        for i in range(j + 1, DIM):
-            df = df.withColumn(f"w{i}_{j}", -sum((F.col(f"l{i}_{k}") * F.col(f"w{k}_{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}_{i}"))
-    return df.select(*by, *[f"m{i}" for i in range(DIM)], *[f"w{i}_{j}" for i in range(DIM) for j in range(i + 1)])
+    one_in = lambda c: 1 / F.greatest(F.col(c), F.lit(1))
+    parts = [F.log(F.greatest("word_chars", F.lit(1)) / F.greatest("n_words", F.lit(1))), share("n_symbols", "word_chars"), share("n_repeat_words", "n_words"), share("n_dup_lines", "n_lines")]
+    # The logarithm of a count has the variance 1 / count; the square root of a count has 1 / 4, and REPEAT words come at a time.
+    known = [one_in("word_chars"), one_in("word_chars") / 4, REPEAT * one_in("n_words") / 4, one_in("n_lines") / 4]
+    return [F.round(p * SCALE).cast("long").alias(f"x{i}") for i, p in enumerate(parts)] + [(v * SCALE * SCALE).alias(f"v{i}") for i, v in enumerate(known)]
 
 
-def distance() -> Column:
-    """The squared Mahalanobis distance of x0.. to m0.. under w."""
-    parts = [sum((F.col(f"w{i}_{j}") * (F.col(f"x{j}") - F.col(f"m{j}")) for j in range(i + 1)), F.lit(0.0)) for i in range(DIM)]
-    return sum((p * p for p in parts), F.lit(0.0))
+X = [f"x{i}" for i in range(DIM)]
+PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
 
 
-def with_estimate(rows: DataFrame, estimate: DataFrame, by: list[str]) -> DataFrame:
-    named = estimate.withColumnsRenamed({b: f"e_{b}" for b in by})
-    match = [F.col(b).eqNullSafe(F.col(f"e_{b}")) for b in by]
-    cond = match[0]
-    for m in match[1:]:
-        cond = cond & m
-    return rows.join(named, cond, "left").drop(*[f"e_{b}" for b in by])
+def with_levels(rows: DataFrame, by: list[str]) -> DataFrame:
+    """A row for each group that a row is in, from the whole table (level 0) to all columns of by: level, gid, and the next larger group's gid (parent)."""
 
+    def gid(level: int) -> Column:
+        parts = [F.lit(level)]
+        for b in by[:level]:
+            parts += [F.col(b).isNull(), F.coalesce(b, F.lit(""))]
+        return F.xxhash64(*parts)
 
-def core(rows: DataFrame, by: list[str], measure: Column) -> DataFrame:
-    """The CORE part of each group's rows with the least measure. The bound is found from counts of the measure's integer steps: a group's rows never meet."""
-    rows = rows.withColumn("bin", F.round(F.log1p(measure) * 1024).cast("long"))
-    bins = rows.groupBy(*by, "bin").agg(F.count("*").alias("k"))
-    order = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.withColumn("upto", F.sum("k").over(order)).withColumn("all", F.sum("k").over(Window.partitionBy(*by)))
-    bound = bins.where(F.col("upto") >= F.ceil(F.col("all") * CORE)).groupBy(*by).agg(F.min("bin").alias("bound"))
-    return with_estimate(rows, bound, by).where("bin <= bound")
+    levels = [F.struct(F.lit(k).alias("level"), gid(k).alias("gid"), (gid(k - 1) if k else F.lit(0).cast("long")).alias("parent")) for k in range(len(by) + 1)]
+    return rows.withColumn("g", F.explode(F.array(*levels))).select("*", "g.*").drop("g")
 
 
-def covariance_estimates(rows: DataFrame, by: list[str]) -> DataFrame:
-    """MCD estimates per group: start from the rows nearest the median of the parts, take concentration steps, then reweigh once.
+def sums(weight: Column) -> list[Column]:
+    return [F.sum(weight).alias("n")] + [F.sum(weight * F.col(x)).alias(f"s{i}") for i, x in enumerate(X)] + [F.sum(weight * F.col(X[i]) * F.col(X[j])).alias(f"s{i}_{j}") for i, j in PAIRS]
 
-    A concentration step takes the half of the rows nearest the last estimate and estimates anew; the determinant never grows.
-    """
-    medians = None
-    for i in range(DIM):
-        counts = rows.groupBy(*by, f"x{i}").agg(F.count("*").alias("k"))
-        order = Window.partitionBy(*by).orderBy(f"x{i}").rowsBetween(Window.unboundedPreceding, 0)
-        counts = counts.withColumn("upto", F.sum("k").over(order)).withColumn("all", F.sum("k").over(Window.partitionBy(*by)))
-        one = counts.where(F.col("upto") * 2 >= F.col("all")).groupBy(*by).agg(F.min(f"x{i}").alias(f"m{i}"))
-        medians = one if medians is None else with_estimate(medians, one, by)
-    medians = stored(medians, "medians")
-    near = sum(((F.col(f"x{i}") - F.col(f"m{i}")) * (F.col(f"x{i}") - F.col(f"m{i}")) / F.lit((v * SCALE) ** 2) for i, v in enumerate(VECTOR.values())), F.lit(0.0))
-    estimate = stored(moments(core(with_estimate(rows, medians, by), by, near), by, consistency(CORE)), "estimate")
-    for _ in range(STEPS):
-        estimate = stored(moments(core(with_estimate(rows, estimate, by), by, distance()), by, consistency(CORE)), "estimate")
-    weighed = with_estimate(rows, estimate, by).where(distance() <= chi2_quantile(WEIGHED, DIM))
-    last = moments(weighed, by, consistency(WEIGHED))
-    # A group none of whose rows weighs in keeps the estimate of its core.
-    missing = estimate.join(last.select(*by).withColumnsRenamed({b: f"e_{b}" for b in by}), [F.col(b).eqNullSafe(F.col(f"e_{b}")) for b in by], "left_anti")
-    return stored(last.unionByName(missing), "estimate")
+
+def moments(summed: DataFrame, factor: float) -> DataFrame:
+    """Adds mean (m0..) and covariance (c0_0..) of rows summed up: times factor, floored at the variance of rounding."""
+    df = summed.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(DIM)})
+    own = lambda i, j: F.col(f"s{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")
+    df = df.withColumns({f"c{i}_{j}": factor * (F.greatest(own(i, j), F.lit(0.0)) + ROUNDING if i == j else own(i, j)) for i, j in PAIRS})
+    return df.drop(*[f"s{i}" for i in range(DIM)], *[f"s{i}_{j}" for i, j in PAIRS])
+
+
+def with_distance(rows: DataFrame, name: str, uncertain: bool = False, det: bool = False) -> DataFrame:
+    """Adds the squared Mahalanobis distance of x0.. to m0.. under c0_0.. (uncertain: with v0.. on the diagonal), by Cholesky's steps; det: the logarithm of the determinant instead."""
+    made: list[str] = []
+    for j in range(DIM):
+        rest = F.col(f"c{j}_{j}") + (F.col(f"v{j}") if uncertain else F.lit(0.0))
+        for k in range(j):
+            rest = rest - F.col(f"l{j}_{k}") * F.col(f"l{j}_{k}")
+        rows = rows.withColumn(f"l{j}_{j}", F.sqrt(F.greatest(rest, F.lit(ROUNDING / 1024))))
+        more = {}
+        for i in range(j + 1, DIM):
+            own = F.col(f"c{i}_{j}")
+            for k in range(j):
+                own = own - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
+            more[f"l{i}_{j}"] = own / F.col(f"l{j}_{j}")
+        if not det:
+            off = F.col(f"x{j}") - F.col(f"m{j}")
+            for k in range(j):
+                off = off - F.col(f"l{j}_{k}") * F.col(f"y{k}")
+            more[f"y{j}"] = off / F.col(f"l{j}_{j}")
+        rows = rows.withColumns(more) if more else rows
+        made += [f"l{j}_{j}", *more]
+    ends = [2 * F.log(f"l{j}_{j}") if det else F.col(f"y{j}") * F.col(f"y{j}") for j in range(DIM)]
+    return rows.withColumn(name, sum(ends[1:], ends[0])).drop(*made)
+
+
+ESTIMATE = [f"m{i}" for i in range(DIM)] + [f"c{i}_{j}" for i, j in PAIRS]
+
+
+def nearest_half(cells: DataFrame) -> DataFrame:
+    """(gid, start, logdet, estimate) of the CORE part of each group's rows of least measure. Rows are summed by the measure's steps: a group's never meet."""
+    binned = cells.groupBy("gid", "start", F.round(F.log1p("measure") * BINS).cast("long").alias("bin")).agg(*sums(F.col("c")))
+    every = Window.partitionBy("gid", "start")
+    before = F.coalesce(F.sum("n").over(every.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = binned.withColumn("before", before).withColumn("all", F.sum("n").over(every)).where(F.col("before") < F.ceil(F.col("all") * CORE))
+    names = ["n", *[f"s{i}" for i in range(DIM)], *[f"s{i}_{j}" for i, j in PAIRS]]
+    summed = kept.groupBy("gid", "start").agg(*[F.sum(c).alias(c) for c in names])
+    return with_distance(moments(summed, consistency(CORE)), "logdet", det=True).select("gid", "start", "logdet", *ESTIMATE)
+
+
+def first_estimates(cells: DataFrame) -> DataFrame:
+    """The three starts of each group."""
+    values = cells.select("gid", "c", F.posexplode(F.array(*X)).alias("part", "x")).groupBy("gid", "part", "x").agg(F.sum("c").alias("k"))
+    every = Window.partitionBy("gid", "part")
+    upto = F.sum("k").over(every.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    values = values.withColumn("upto", upto).withColumn("all", F.sum("k").over(every))
+    quartile = lambda i, q: F.min(F.when((F.col("part") == i) & (F.col("upto") * 4 >= F.col("all") * q), F.col("x")))
+    quartiles = values.groupBy("gid").agg(*[quartile(i, q).alias(f"q{i}_{q}") for i in range(DIM) for q in (1, 2, 3)])
+    classical = moments(cells.groupBy("gid").agg(*sums(F.col("c"))), 1.0).select("gid", *ESTIMATE)
+    rows = with_distance(cells.join(quartiles, "gid").join(classical, "gid"), "far")
+    z = [(F.col(f"x{i}") - F.col(f"q{i}_2")) / F.sqrt(F.pow((F.col(f"q{i}_3") - F.col(f"q{i}_1")) / 1.349, 2) + ROUNDING) for i in range(DIM)]
+    square = [x * x for x in z]
+    measures = F.array(sum(square[1:], square[0]), F.greatest(*square), F.col("far"))
+    return nearest_half(rows.select("gid", "c", *X, F.posexplode(measures).alias("start", "measure")))
+
+
+def least_determinants(cells: DataFrame) -> DataFrame:
+    """(gid, estimate): concentration steps from every start until no determinant falls, and the least of each group."""
+    best = stored(first_estimates(cells), "estimates").withColumn("falls", F.lit(True))
+    while True:
+        near = with_distance(cells.join(best.where("falls").select("gid", "start", *ESTIMATE), "gid"), "measure")
+        new = nearest_half(near.select("gid", "start", "c", *X, "measure")).withColumnsRenamed({c: f"new_{c}" for c in ["logdet", *ESTIMATE]})
+        both = best.join(new, ["gid", "start"], "left")
+        falls = F.coalesce(F.col("new_logdet") < F.col("logdet") - 1e-9, F.lit(False))
+        best = stored(both.select("gid", "start", falls.alias("falls"), *[F.when(falls, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ["logdet", *ESTIMATE]]), "estimates")
+        if best.where("falls").isEmpty():
+            return best.groupBy("gid").agg(F.min_by(F.struct(*ESTIMATE), F.struct("logdet", "start")).alias("e")).select("gid", "e.*")
+
+
+def covariance_estimates(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(gid, estimate) of the groups of all columns of by, from rows with by, x0.. and v0..."""
+    cells = rows.groupBy(*by, *X).agg(F.count("*").alias("c"))
+    cells = stored(with_levels(cells, by).groupBy("gid", "level", "parent", *X).agg(F.sum("c").alias("c")), "cells")
+    raw = least_determinants(cells.select("gid", "c", *X))
+    near = with_distance(with_levels(rows, by).select("gid", *X, *[f"v{i}" for i in range(DIM)]).join(raw, "gid"), "distance", uncertain=True)
+    near = near.where(F.col("distance") <= chi2_quantile(WEIGHED, DIM)).groupBy("gid", *X).agg(F.count("*").alias("c"))
+    weighed = moments(near.groupBy("gid").agg(*sums(F.col("c"))), consistency(WEIGHED))
+    groups = cells.select("gid", "level", "parent").distinct()
+    found = stored(groups.join(weighed, "gid", "left"), "weighed")
+    out = found.where("level = 0").select("gid", *ESTIMATE)
+    for level in range(1, len(by) + 1):
+        above = out.withColumnsRenamed({c: f"p_{c}" for c in ESTIMATE} | {"gid": "parent"})
+        n = F.coalesce("n", F.lit(0))
+        drawn = [((n * F.coalesce(c, F.lit(0.0)) + PRIOR_ROWS * F.col(f"p_{c}")) / (n + PRIOR_ROWS)).alias(c) for c in ESTIMATE]
+        out = found.where(F.col("level") == level).join(above, "parent").select("gid", *drawn)
+    return stored(out, "estimate")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, ...] = ("lang", "source"), reject: float = REJECT, keys: bool = False) -> DataFrame:
@@ -181,7 +241,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stats = base_statistics(source, "text", tuple(names))
     stats = stored(stats.select("*", *vector()), "statistics")
     estimate = covariance_estimates(stats.where("NOT base_failed"), groups)
-    judged = with_estimate(stats, estimate, groups).withColumn("distance", F.when(~F.col("base_failed"), distance()))
+    own = with_levels(stats, groups).where(F.col("level") == len(groups))
+    judged = with_distance(own.join(estimate, "gid", "left"), "distance", uncertain=True)
+    distance = F.when(~F.col("base_failed"), F.col("distance"))
     kept = ~F.col("base_failed") & (F.col("distance") <= chi2_quantile(1 - reject, DIM))
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return judged.select(F.col("id").alias(id_col), *columns, "distance", F.coalesce(kept, F.lit(False)).alias("kept"), *(["k1", "k2"] if keys else []))
+    return judged.select(F.col("id").alias(id_col), *columns, distance.alias("distance"), F.coalesce(kept, F.lit(False)).alias("kept"), *(["k1", "k2"] if keys else []))
