@@ -83,13 +83,53 @@ def test_dedup_lines(spark, rows):
     assert dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_dedup_lines_by_salted_join(spark, rows, monkeypatch):
+    from tramline.llm import line_dedup
+
+    docs = frame(spark, rows)
+    names = ("doc_id", "n_lines", "n_dropped", "kept")
+    whole = got(dedup_lines(docs), *names)
+    monkeypatch.setattr(line_dedup, "SENT", 0)
+    assert got(dedup_lines(docs, batches=5), *names) == whole
+
+
+BATCH = "h1 long, h2 long, n long"
+
+
 def test_runs_are_levelled_and_compacted(spark):
-    runs = LineRuns(spark)
+    runs = LineRuns(spark, min_docs=5)
     for k in range(2 * FANOUT + 1):
-        runs.add(spark.createDataFrame([(1, 1, 1), (k, 5, 2)], "h1 long, h2 long, n long"))
+        runs.add(spark.createDataFrame([(1, 1, 1), (k, 5, 2), (9, 9, 5)], BATCH))
+        assert (1, 1) not in {(r.h1, r.h2) for r in runs.often().collect()} or k >= 4
     assert [len(x) for x in runs.levels] == [1, 2]
-    assert {(r.h1, r.h2): r.n for r in runs.totals().collect()} == {(1, 1): 2 * FANOUT + 1} | {(k, 5): 2 for k in range(2 * FANOUT + 1)}
-    assert runs.new_in(spark.createDataFrame([(1, 1, 1), (77, 1, 1)], "h1 long, h2 long, n long")).count() == 1
+    assert sorted((r.h1, r.h2) for r in runs.often().collect()) == [(1, 1), (9, 9)]
+    assert {(r.h1, r.h2) for r in runs.new_in(spark.createDataFrame([(1, 1, 1), (77, 1, 1)], BATCH)).collect()} == {(77, 1)}
+    again = LineRuns(spark, runs.path, min_docs=5)
+    assert again.levels == runs.levels and again.often().count() == 2
+    again.add(spark.createDataFrame([(3, 5, 3)], BATCH))
+    assert again.often().count() == 3
+    with pytest.raises(ValueError, match="counts up to 5"):
+        LineRuns(spark, runs.path, min_docs=6)
+
+
+def test_anti_join_decides(spark, monkeypatch):
+    """Without it, a hash that is often already is counted anew and stands in several runs."""
+    batch = spark.createDataFrame([(1, 1, 9)], BATCH)
+    monkeypatch.setattr(LineRuns, "new_in", lambda self, counts: counts)
+    runs = LineRuns(spark, min_docs=5)
+    for _ in range(2):
+        runs.add(batch)
+    assert runs.often().count() == 2
+
+
+def test_store_of_earlier_documents(spark, rows):
+    """Two halves through one store drop in the second half what both halves hold often enough."""
+    store = LineRuns(spark)
+    first, second = rows[:100], rows[100:]
+    dedup_lines(frame(spark, first), store=store).count()
+    out = got(dedup_lines(frame(spark, second), store=store), "doc_id", "n_lines", "n_dropped")
+    every = [(d, n, x) for d, n, x, _ in brute.dedup_lines([(d, t) for d, t, _ in rows])]
+    same(out, every[100:])
 
 
 def test_mixing(spark, rows):
