@@ -59,17 +59,12 @@ def test_decontaminate(spark, rows):
     assert decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
-def test_benchmark_in_blocks(spark, rows, monkeypatch):
-    from tramline.llm import decontaminate as module
-
-    bench = spark.createDataFrame([(i, rows[i][1]) for i in range(20, 40)], "item_id long, text string")
-    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    whole = got(decontaminate(frame(spark, rows), bench), *names)
-    monkeypatch.setattr(module, "BLOCK_BYTES", 500)
-    assert got(decontaminate(frame(spark, rows), bench), *names) == whole
-    monkeypatch.setattr(module, "MOST_BYTES", 50)
-    with pytest.raises(ValueError, match="bound"):
-        decontaminate(frame(spark, rows), bench)
+def test_benchmark_beyond_the_automaton(spark, rows):
+    bench = spark.createDataFrame([(i, rows[i][1]) for i in range(20, 40)] + [(50, "beta"), (51, "alpha beta the"), (None, rows[3][1])], "item_id long, text string")
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "kept_source")
+    whole = got(decontaminate(frame(spark, rows), bench, spans=True, keep=("source",)), *names)
+    assert got(decontaminate(frame(spark, rows), bench, spans=True, keep=("source",), most_nodes=0), *names) == whole
+    assert sum(r[2] > 0 for r in whole) > 20
 
 
 def test_dedup_lines(spark, rows):
