@@ -94,3 +94,22 @@ def test_components(spark):
 
 def test_runs():
     assert near.runs_for(0.8) == 8
+
+
+def test_low_similarity(spark, rows):
+    """More runs than a signature of fixed width has coordinates."""
+    some = rows[:60] + rows[-9:-2]
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    assert near.runs_for(0.4) > 60
+    assert got(near.near_duplicates(docs, 0.4)) == expected(some, 0.4)
+
+
+def test_shared_counts_in_slices():
+    import numpy as np
+
+    rnd = random.Random(3)
+    lists = [np.array(sorted(rnd.sample(range(300), rnd.randint(0, 60))), np.uint64) for _ in range(20)]
+    wanted = [[len(np.intersect1d(a, b)) for b in lists] for a in lists]
+    for most in (1, 400, 1 << 20):
+        out = near.shared_counts(lists, most)
+        assert all(out[i][j] == wanted[i][j] for i in range(20) for j in range(20) if i != j)

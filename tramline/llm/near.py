@@ -9,8 +9,11 @@ What the bounds leave over is not dropped: a bucket that is large after the last
 compared whole, in pairs of blocks, one pair a task.
 
 Defined results: a null text, and one without words, has no shingles, no links and a class of its own; a text of fewer words than five
-has one shingle; rows alike share a node; the class of rows without any id is null; an empty table gives an empty result. Extra
-columns are not read.
+has one shingle; rows alike share a node; the class of rows without any id is null; a very long text is one set, in memory some
+hundred times its size while it is made; an empty table gives an empty result. Extra columns are not read.
+
+Links are counted exactly, so that a group of near copies that are all different costs the square of its size in comparisons, and each
+set goes to as many pairs of blocks as its bucket has blocks.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import row_keys, stored
 from .kernels import BASE, MIX, U, mix, shingle_sets, text_pieces
 
-#: Coordinates of a signature.
-WIDTH = 48
+#: Coordinates of a signature beyond those that runs start from.
+SPARE = 40
 #: Paths that go on from a bucket.
 BRANCHES = 2
 #: Rows of a bucket that are compared at once, splits of a bucket, and rows of a block of what stays large.
@@ -49,17 +52,17 @@ def _salts(n: int) -> tuple[np.ndarray, np.ndarray]:
     return x[:n], x[n:] | U(1)
 
 
-def set_rows(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each set that is not empty: 128 bits that name it, and its signature of 32-bit minima."""
+def set_rows(hashes: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each set that is not empty: 128 bits that name it, and its signature of 32-bit minima in width coordinates."""
     n = np.diff(offsets)
     at = offsets[:-1][n > 0]
     if not len(at):
-        return np.zeros(0, U), np.zeros(0, U), np.zeros((0, WIDTH), np.uint32)
+        return np.zeros(0, U), np.zeros(0, U), np.zeros((0, width), np.uint32)
     size = n[n > 0].astype(U)
     names = [mix(np.add.reduceat(mix(hashes ^ U(c)), at) ^ size) for c in MIX]
-    a, b = _salts(WIDTH)
-    signature = np.empty((len(at), WIDTH), np.uint32)
-    for i in range(WIDTH):
+    a, b = _salts(width)
+    signature = np.empty((len(at), width), np.uint32)
+    for i in range(width):
         signature[:, i] = np.minimum.reduceat((hashes ^ a[i]) * b[i], at) >> U(32)
     return names[0], names[1], signature
 
@@ -67,7 +70,7 @@ def set_rows(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 SET_SCHEMA = "id {id}, k1 long, k2 long, n long, s1 long, s2 long, signature binary"
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """Per row: id, row keys, size of its set (n), name of its set (s1, s2) and signature; null where the set is empty."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", "text", *row_keys("id"))
 
@@ -76,7 +79,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for part, data, offsets in text_pieces(batch):
                 hashes, at = shingle_sets(data, offsets)
                 n = np.diff(at)
-                s1, s2, signature = set_rows(hashes, at)
+                s1, s2, signature = set_rows(hashes, at, width)
                 raw = iter([own.tobytes() for own in signature])
                 full = n > 0
                 names = [np.zeros(len(n), np.int64) for _ in range(2)]
@@ -94,7 +97,7 @@ def value_at(coordinate: Column) -> Column:
 
 def leaves(nodes: DataFrame, runs: int) -> DataFrame:
     """(leaf, node, size): the buckets of two nodes or more that no split is left for, or that are small."""
-    spare = WIDTH - runs
+    spare = SPARE
     rows = nodes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
     rows = rows.select("node", "signature", F.xxhash64(F.col("run"), value_at(F.col("run"))).alias("path"))
     found = None
@@ -151,27 +154,27 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield left
 
 
-def incidence(lists: list[np.ndarray]) -> np.ndarray:
-    """Rows by values that stand in two lists or more."""
-    where = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    values = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
-    keep = count[column] > 1
-    number = np.cumsum(count > 1) - 1
-    made = np.zeros((len(lists), int((count > 1).sum())), np.float32)
-    made[where[keep], number[column[keep]]] = 1
-    return made
-
-
-def shared_counts(lists: list[np.ndarray]) -> np.ndarray:
-    """How many values each pair of lists shares."""
+def shared_counts(lists: list[np.ndarray], most: int = 1 << 24) -> np.ndarray:
+    """How many values each pair of lists shares: products of slices of the table of lists by values, of at most so many cells."""
     if len(lists) == 2:
         n = len(np.intersect1d(lists[0], lists[1], assume_unique=True))
         return np.array([[0, n], [n, 0]])
-    made = incidence(lists)
+    where = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    values = np.concatenate(lists)
+    order = np.argsort(values, kind="stable")
+    values, where = values[order], where[order]
+    new = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)
+    column = np.cumsum(new) - 1
+    # Values of one list are shared by none.
+    shared = np.bincount(column) > 1 if len(values) else np.zeros(0, bool)
+    keep = shared[column]
+    where, column = where[keep], (np.cumsum(shared) - 1)[column[keep]]
     out = np.zeros((len(lists), len(lists)))
-    for at in range(0, made.shape[1], 1 << 16):
-        part = made[:, at : at + (1 << 16)]
+    width = max(1, most // len(lists))
+    for at in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, [at, at + width])
+        part = np.zeros((len(lists), width), np.float32)
+        part[where[a:b], column[a:b] - at] = 1
         out += part @ part.T
     return out
 
@@ -180,7 +183,8 @@ def open_pairs(group: pa.RecordBatch, similarity: float) -> np.ndarray | None:
     """Which pairs of a group's rows are to be verified here: alike enough by size and signature, and not met in a lower leaf."""
     leaf, bi, bj = (group.column(i)[0].as_py() for i in range(3))
     b, n = np.asarray(group.column(3)), np.asarray(group.column(5)).astype(np.float64)
-    signature = np.frombuffer(b"".join(group.column(6).to_pylist()), np.uint32).reshape(-1, WIDTH)
+    signature = np.frombuffer(b"".join(group.column(6).to_pylist()), np.uint32).reshape(len(n), -1)
+    width = signature.shape[1]
     pairs = np.triu(np.ones((len(n), len(n)), bool), 1)
     if bi != bj:
         pairs &= b[:, None] != b[None, :]
@@ -188,10 +192,10 @@ def open_pairs(group: pa.RecordBatch, similarity: float) -> np.ndarray | None:
     if not pairs.any():
         return None
     alike = np.zeros(pairs.shape, np.int16)
-    for c in range(WIDTH):
+    for c in range(width):
         alike += signature[:, c, None] == signature[None, :, c]
     # Six deviations under what the least similarity gives.
-    pairs &= alike >= WIDTH * similarity - 6 * math.sqrt(WIDTH * similarity * (1 - similarity))
+    pairs &= alike >= width * similarity - 6 * math.sqrt(width * similarity * (1 - similarity))
     if not pairs.any():
         return None
     column = group.column(4 + 3)
@@ -241,6 +245,16 @@ def verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["node", "links", "root"])
 
 
+#: Salts by which the edges of a node meet what is known of it: the centre of a large class is one key of many rows.
+SALTS = 8
+
+
+def with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (u, v) with the columns of least, a row a node u, joined by u and a salt of v."""
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the nodes of edges (u, v): the least node of each connected component, by alternating stars.
 
@@ -251,10 +265,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        small = with_least(down, low).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = stored(small.where("u <> v").distinct(), "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
@@ -270,7 +284,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     the row is the first of its class by id and key.
     """
     runs = runs_for(similarity)
-    rows = stored(signatures(docs, id_col, text_col), "signatures")
+    rows = stored(signatures(docs, id_col, text_col, runs + SPARE), "signatures")
     nodes = rows.where("n > 0").dropDuplicates(["s1", "s2"]).withColumn("node", F.monotonically_increasing_id())
     nodes = stored(nodes.select("node", "s1", "s2", "k1", "k2", "n", "signature"), "nodes")
     found = stored(leaves(nodes, runs), "leaves")
