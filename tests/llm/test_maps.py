@@ -11,7 +11,7 @@ import brute
 from tramline.llm.decontaminate import decontaminate
 from tramline.llm.line_dedup import FANOUT, LineRuns, dedup_lines
 from tramline.llm.mixing import mix_sources
-from tramline.llm.tokens import read_cache, token_counts
+from tramline.llm.tokens import batches_of, read_cache, token_counts, tokenizer_version
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType()), T.StructField("k1", T.StringType()), T.StructField("size", T.StringType())])
 
@@ -169,8 +169,28 @@ def test_token_counts(spark, rows, name, tmp_path):
         model = Tokenizer.from_file(path)
         count = lambda t: len(model.encode(t, add_special_tokens=False).ids)
     same(out, [(d, len((t or "").encode()), n := count(t or ""), n > 50) for d, t, _ in rows])
-    entries = read_cache(spark, cache).count()
+    version = tokenizer_version(path)
+    entries = read_cache(spark, cache, version).count()
     assert entries <= len({t or "" for _, t, _ in rows})
     assert got(token_counts(docs, path, cache, limit=50), "doc_id", "n_bytes", "n_tokens", "over_limit") == out
-    assert read_cache(spark, cache).count() == entries
+    assert read_cache(spark, cache, version).count() == entries
     assert token_counts(docs.limit(0), path, cache).count() == 0
+
+
+def test_only_misses_are_encoded(spark, rows, tmp_path, monkeypatch):
+    from tramline.llm import tokens
+
+    path, cache = public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/cache"
+    version = tokenizer_version(path)
+    monkeypatch.setattr(tokens, "BATCHES", 2)
+    written = []
+    append = tokens.append_to_cache
+    monkeypatch.setattr(tokens, "append_to_cache", lambda *a: written.append(append(*a)) or written[-1])
+    parts = [rows[:50], rows[:80], rows[40:], rows]
+    for part in parts:
+        token_counts(frame(spark, part), path, cache).count()
+    # A count in the cache is taken as it is: the tokenizer is not asked again.
+    assert [x.count() > 0 for x in written] == [True, True, True, False]
+    assert len(batches_of(spark, cache, version)) == 2
+    cold = got(token_counts(frame(spark, rows), path, f"{cache}-2"), "doc_id", "n_tokens")
+    assert got(token_counts(frame(spark, rows), path, cache), "doc_id", "n_tokens") == cold

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import remove_at_exit, shared_dir, table
 from .oracles import ORACLES as ORACLES
 
 
@@ -30,6 +30,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # A cache of the call's own: the figures of this query are those of an empty one.
     cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    remove_at_exit(spark, cache)
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache)
 
 
