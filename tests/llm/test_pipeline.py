@@ -86,6 +86,18 @@ def test_whole_run(spark, folder):
     assert first == sorted(tuple(r) for r in pipeline.run(spark, to).select("doc_id", "repeats", "taken").collect())
 
 
+def test_extra_columns_of_clashing_names(spark, folder):
+    """Nothing is lost or changed by columns that stages use themselves."""
+    from pyspark.sql import functions as F
+
+    to, _, _ = folder
+    docs = spark.read.parquet(f"{to}/documents.parquet")
+    names = ("k1", "k2", "label", "text2", "node", "id", "slice", "kept", "distance", "drop", "size", "taken")
+    more = docs.select("*", *[F.lit(1).alias(c) for c in names])
+    for name, stage in pipeline.STAGES:
+        assert collected(stage(spark, more, to)) == collected(stage(spark, docs, to)), name
+
+
 def test_no_documents(spark, folder, tmp_path):
     to, _, _ = folder
     spark.read.parquet(f"{to}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
