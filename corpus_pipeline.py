@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row of docs, and returns a DataFrame; all but the last return the columns of
 documents. Texts are judged by keys of id and text; rows alike in both share what is decided.
+
+Defined results of all stages: a null or empty text has no words, fails the quality rules and goes there; a null id, language or source is
+a value like any other; of rows alike, each stands for itself but among near duplicates, where one stays; a very long text is one row in
+every stage; an empty table gives an empty result. Columns other than those of documents are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go. Of rows alike in id and text, one that is kept keeps all."""
     kept = quality_rules(docs, keys=True).where("kept").select("k1", "k2").distinct()
-    return docs.select("*", *row_keys()).join(kept.hint("shuffle_hash"), ["k1", "k2"], "left_semi").select(*COLUMNS)
+    return docs.select(*COLUMNS, *row_keys()).join(kept.hint("shuffle_hash"), ["k1", "k2"], "left_semi").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     stays = out.where("label IS NOT NULL").groupBy("label").agg(first).select("first.k1", "first.k2")
     alone = out.where("label IS NULL").select("k1", "k2").distinct().withColumn("alone", F.lit(True))
     stays = stays.withColumn("alone", F.lit(False)).unionByName(alone)
-    kept = docs.select("*", *row_keys()).join(stays.hint("shuffle_hash"), ["k1", "k2"])
+    kept = docs.select(*COLUMNS, *row_keys()).join(stays.hint("shuffle_hash"), ["k1", "k2"])
     # Rows alike in id and text have met in one task; of them one stays.
     order = Window.partitionBy("k1", "k2").orderBy(F.lit(0))
     return kept.withColumn("nth", F.row_number().over(order)).where("nth = 1 OR alone").select(*COLUMNS)
@@ -53,8 +57,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, with how often each is repeated (repeats) and the words it gives (taken). Documents not taken are left out."""
-    keyed = docs.select("*", *row_keys())
+    """The documents of the mix, ties in the seeded order broken by id and text, with how often each is repeated (repeats) and the words it gives (taken). Documents not taken are left out."""
+    keyed = docs.select(*COLUMNS, *row_keys())
     shares = mix_sources(keyed, keep=("k1", "k2")).where("repeats > 0")
     shares = shares.groupBy(F.col("kept_k1").alias("k1"), F.col("kept_k2").alias("k2")).agg(*[F.min(c).alias(c) for c in ("size", "source_size", "target", "repeats", "taken")])
     return keyed.join(shares.hint("shuffle_hash"), ["k1", "k2"]).select(*COLUMNS, "size", "source_size", "target", "repeats", "taken")
