@@ -1,24 +1,29 @@
 """Secret scans through a trigram inverted index.
 
-From each rule's regular expression a Boolean query over trigrams is derived that every matching text satisfies. The index holds, for the
-trigrams any rule asks for, the rows whose lower-case text contains them. Postings are intersected per rule, candidates are
+The index is built once from the texts' own trigrams and stored: postings (trigram, name of a row), in segments sorted by trigram, so that
+a scan reads the pages of the trigrams it asks for only, and other rules are answered from the same index. From each rule's regular expression a Boolean
+query over trigrams is derived that every matching text satisfies. Postings are intersected per rule, candidates are
 verified by the expression itself, and a rule without mandatory trigrams scans all texts. DataFrame functions only.
 
-Defined results: a null or empty text has no spans; repeated rows are answered alike; an empty table gives an empty result. Extra
-columns are not read.
+Trigrams are of lower-case text and kept as 32-bit hashes, names as 32 bits of a row's key: what collides is a candidate more, and fails
+to verify.
+
+Defined results: a null or empty text has no spans; repeated rows are answered alike; a very long text is indexed in overlapping pieces, and
+searched as one; an empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 from re import _constants as C
 from re import _parser as parser
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_keys, stored
+from .common import remove_at_exit, row_keys, shared_dir, stored
 
 #: Strings that a part of an expression may stand for before it counts as unknown.
 MOST_STRINGS = 64
@@ -134,36 +139,69 @@ def trigram_query(pattern: str) -> Query:
 # --- Index, candidates, verification -----------------------------------------------------------------------------------
 
 
-def trigram_index(docs: DataFrame, trigrams: list[str], text_col: str = "text") -> DataFrame:
-    """Postings (trigram number, k1, k2) of the given trigrams over rows with keys k1 and k2."""
-    low = docs.select("k1", "k2", F.lower(text_col).alias("low"))
-    present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
-    return low.select("k1", "k2", F.explode(present).alias("trigram"))
-
-
-def candidates(postings: DataFrame, queries: dict[str, Query], trigrams: list[str]) -> DataFrame:
-    """Rows (k1, k2) with a Boolean for each rule whose query their postings satisfy."""
-    number = {t: i for i, t in enumerate(trigrams)}
-    width = 60
-    words = range((len(trigrams) + width - 1) // width)
-    bit = F.lit(1).cast("long")
-    masks = [F.bit_or(F.when(F.floor(F.col("trigram") / width) == w, F.expr(f"shiftleft(1L, cast(trigram % {width} as int))")).otherwise(bit * 0)).alias(f"mask{w}") for w in words]
-    df = postings.groupBy("k1", "k2").agg(*masks)
-
-    def holds(query: Query) -> Column:
-        made = F.lit(False)
-        for needed in sorted(query, key=sorted):
-            all_of = F.lit(True)
-            for w in words:
-                bits = sum(1 << (number[t] % width) for t in needed if number[t] // width == w)
-                if bits:
-                    all_of = all_of & (F.col(f"mask{w}").bitwiseAND(F.lit(bits)) == bits)
-            made = made | all_of
-        return made
-
-    flags = {k: holds(q) for k, q in queries.items()}
-    found = df.select("k1", "k2", *[c.alias(f"is_{k}") for k, c in flags.items()])
-    return found.where(reduce(lambda a, b: a | b, [F.col(f"is_{k}") for k in flags], F.lit(False)))
+#: Code points of a text that are indexed at once.
+PIECE = 1 << 16
+#: Values that one filter on postings lists, so that it reaches the pages of a file.
+LISTED = 10
+
+
+def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, k1, k2, name) of docs: name is 32 bits of k1."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", "text", *row_keys("id"))
+    return rows.withColumn("name", (F.col("k1").bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int"))
+
+
+class TrigramIndex:
+    """Postings of documents in a folder, a segment a call of add."""
+
+    SCHEMA = "trigram int, name int"
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark = spark
+        self.path = path or f"{shared_dir(spark)}/trigrams-{uuid.uuid4().hex}"
+        if path is None:
+            remove_at_exit(spark, self.path)
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> TrigramIndex:
+        """Indexes every trigram of every text. Each task sorts and writes its own rows: nothing is shuffled."""
+        low = named(docs, id_col, text_col).select("name", F.lower("text").alias("low"))
+        pieces = low.select("name", "low", F.explode(F.sequence(F.lit(0), F.greatest(F.length("low") - 1, F.lit(0)), F.lit(PIECE))).alias("at"))
+        pieces = pieces.select("name", F.when(F.length("low") > PIECE, F.substring("low", F.col("at") + 1, F.lit(PIECE + 2))).otherwise(F.col("low")).alias("piece"))
+        grams = pieces.select("name", F.explode(F.array_distinct(F.regexp_extract_all("piece", F.lit("(?s)(?=(...))"), F.lit(1)))).alias("gram"))
+        packed = grams.select((F.shiftleft(F.hash("gram").cast("long"), 32) + (F.col("name").cast("long") + (1 << 31))).alias("p")).sortWithinPartitions("p")
+        postings = packed.select(F.shiftright("p", 32).cast("int").alias("trigram"), (F.col("p").bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int").alias("name"))
+        postings.write.parquet(f"{self.path}/segment={uuid.uuid4().hex}")
+        return self
+
+    def postings(self, trigrams: list[str]) -> DataFrame:
+        """(number of the trigram in the list, name)."""
+        hashes = list(self.spark.range(1).select(F.array(*[F.hash(F.lit(t)) for t in trigrams])).first()[0])
+        wanted = [F.col("trigram").isin(hashes[i : i + LISTED]) for i in range(0, len(hashes), LISTED)]
+        rows = self.spark.read.schema(self.SCHEMA).parquet(self.path).where(reduce(lambda a, b: a | b, wanted))
+        return rows.select((F.array_position(F.array(*map(F.lit, hashes)), F.col("trigram")) - 1).cast("int").alias("trigram"), "name")
+
+    def candidates(self, queries: dict[str, Query]) -> DataFrame:
+        """(name, is_<kind>): the rows whose postings satisfy a rule's query."""
+        trigrams = sorted({t for q in queries.values() for needed in q for t in needed})
+        number = {t: i for i, t in enumerate(trigrams)}
+        width = 60
+        words = range((len(trigrams) + width - 1) // width)
+        masks = [F.bit_or(F.when(F.floor(F.col("trigram") / width) == w, F.expr(f"shiftleft(1L, cast(trigram % {width} as int))")).otherwise(F.lit(0).cast("long"))).alias(f"mask{w}") for w in words]
+        df = self.postings(trigrams).groupBy("name").agg(*masks)
+
+        def holds(query: Query) -> Column:
+            made = F.lit(False)
+            for needed in sorted(query, key=sorted):
+                all_of = F.lit(True)
+                for w in words:
+                    bits = sum(1 << (number[t] % width) for t in needed if number[t] // width == w)
+                    if bits:
+                        all_of = all_of & (F.col(f"mask{w}").bitwiseAND(F.lit(bits)) == bits)
+                made = made | all_of
+            return made
+
+        found = df.select("name", *[holds(q).alias(f"is_{k}") for k, q in queries.items()])
+        return found.where(reduce(lambda a, b: a | b, [F.col(f"is_{k}") for k in queries]))
 
 
 def spans_of(rule: Rule, order: int, text: Column) -> Column:
@@ -187,29 +225,32 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), s["start"], F.lit(":"), s["end"])), ",")
 
 
-def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+NONE = "cast(array() as array<struct<start:int,order:int,kind:string,end:int>>)"
+
+
+def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", index: TrigramIndex | None = None) -> DataFrame:
     """Per row: id, n_<kind> for the base kinds, base_spans and spans (arrays of start, order, kind, end in code points).
 
-    Postings are small; texts move once, to meet the flags of their row's candidates.
+    index: one that holds all rows of docs; without one, docs are indexed for this call. Texts stay where they are but for
+    candidates, where these are too many to go to the tasks.
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     asked = {k: q for k, q in queries.items() if q != ANY}
-    trigrams = sorted({t for q in asked.values() for needed in q for t in needed})
-    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    rows = docs.select(F.col(id_col).alias("id"), text).select("id", "text", *row_keys("id"))
-    postings = stored(trigram_index(rows, trigrams).dropDuplicates(), "postings")
-    flags = candidates(postings, asked, trigrams)
-    found = rows.join(flags.hint("shuffle_hash"), ["k1", "k2"], "left").drop("k1", "k2")
-    none = F.expr("cast(array() as array<struct<start:int,order:int,kind:string,end:int>>)")
-    columns = []
-    for order, rule in enumerate(rules):
-        if rule.kind in asked:
-            maybe = F.coalesce(F.col(f"is_{rule.kind}"), F.lit(False))
-        else:
+    rows = named(docs, id_col, text_col)
+    places = {r.kind: i for i, r in enumerate(rules)}
+    every = []
+    for rule in rules:
+        if rule.kind not in asked:
             # One pass without captures tells which texts can hold a match that is long enough.
             maybe = F.col("text").rlike(f"(?:{rule.pattern[:-1]}){{{rule.least},}}" if rule.pattern.endswith("]+") and rule.pattern.startswith("[") else rule.pattern)
-        columns.append(F.when(maybe, spans_of(rule, order, F.col("text"))).otherwise(none).alias(f"s_{rule.kind}"))
-    found = found.select("id", *columns)
+            every.append(F.when(maybe, spans_of(rule, places[rule.kind], F.col("text"))).otherwise(F.expr(NONE)).alias(f"s_{rule.kind}"))
+    found = rows.select("id", "k1", "k2", *every)
+    if asked:
+        flags = stored((index or TrigramIndex(docs.sparkSession).add(docs, id_col, text_col)).candidates(asked), "candidates")
+        verified = [F.when(F.col(f"is_{r.kind}"), spans_of(r, places[r.kind], F.col("text"))).otherwise(F.expr(NONE)).alias(f"s_{r.kind}") for r in rules if r.kind in asked]
+        hits = rows.join(flags, "name").select("k1", "k2", *verified).where(reduce(lambda a, b: a | b, [F.size(f"s_{k}") > 0 for k in asked]))
+        found = found.join(stored(hits, "verified").dropDuplicates(["k1", "k2"]), ["k1", "k2"], "left")
+        found = found.withColumns({f"s_{k}": F.coalesce(f"s_{k}", F.expr(NONE)) for k in asked})
     base = [r for r in rules if r.base]
-    ordered = lambda own: F.array_sort(F.concat(*[F.col(f"s_{r.kind}") for r in own]))
+    ordered = lambda own: F.array_sort(F.concat(F.expr(NONE), *[F.col(f"s_{r.kind}") for r in own]))
     return found.select(F.col("id").alias(id_col), *[F.size(f"s_{r.kind}").cast("long").alias(f"n_{r.kind}") for r in base], ordered(base).alias("base_spans"), ordered(rules).alias("spans"))
