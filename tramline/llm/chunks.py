@@ -5,8 +5,8 @@ changes the chunks around it only. Chunks are named by digest. A chunk whose dig
 repeats are removed where they are at least least bytes long or a whole text, but for each chunk's first place in the order of keys.
 
 Defined results: a null or empty text has no chunks and nothing removed; rows alike in id and text are one document counted as often as it
-stands, and answered alike: they keep the chunk's first place together; an empty table gives an empty result. Extra columns are
-not read.
+stands, and answered alike: they keep the chunk's first place together; a very long text is one piece, in memory some fifty times its
+size; an empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by capped water-filling with seeded whole and fractional repetitions.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a source of size 0 takes nothing; repeated rows
-stand as rows of their own; with no rows the result is empty.
+stand as rows of their own; ties in the seeded order go by id and a hash of the text; a very long text is only counted, where it lies; extra
+columns are left out unless keep names them; with no rows the result is empty.
 """
 
 from __future__ import annotations
