@@ -42,7 +42,7 @@ def rows():
         own = " ".join(word() for _ in range(rnd.randint(1, 150)))
         if d % 3 == 0:
             a = rnd.randint(0, 200)
-            own = own + passage[a : a + rnd.choice([280, 320, 400, 700])] + word()
+            own = own + passage[a : a + rnd.choice([290, 350, 390, 700])] + word()
         if d % 7 == 0:
             own = own[: len(own) // 2] + "*" + own[len(own) // 2 :]
         out.append((d, own))
@@ -57,7 +57,7 @@ def got(df):
 
 def test_all_repeats(spark, rows):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, k1 int")
-    wanted = expected(rows, 400, 250)
+    wanted = expected(rows, 400, 300)
     assert sum(r[2] > 0 for r in wanted) > 10 and sum(r[5] > r[2] for r in wanted) > 5
     assert got(suffixes.suffix_dedup(docs)) == wanted
 

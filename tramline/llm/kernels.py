@@ -81,12 +81,18 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACES)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
+def prefix_sums(data: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Sums of the bytes' values times powers of BASE, up to each place."""
     n = len(data)
     sums = np.zeros(n + 1, U)
     values = mix(data.astype(U) + U(257 + salt * 1009)) if n < 256 else mix(np.arange(256, dtype=U) + U(257 + salt * 1009))[data]
     np.cumsum(values * powers(BASE, n), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * powers(INVERSE, n + 1)[starts]
+    return sums
+
+
+def _hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
+    sums = prefix_sums(data, salt)
+    h = (sums[ends] - sums[starts]) * powers(INVERSE, len(data) + 1)[starts]
     return mix(h ^ ((ends - starts).astype(U) * U(MIX[1])))
 
 

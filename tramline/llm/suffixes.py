@@ -23,15 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_keys, stored
-from .kernels import PIECE, U, merged_runs, mix, span_hashes, text_pieces
+from .kernels import INVERSE, PIECE, U, merged_runs, mix, powers, prefix_sums, span_hashes, text_pieces
 
 LENGTH, GRAM = 400, 32
-#: Bytes from which a repeat is reported, though it may be too short to be removed: fifty words of five letters.
-PASSAGE = 250
+#: Bytes from which a repeat is reported, though it may be too short to be removed: fifty words of five letters and a space.
+PASSAGE = 300
 #: Bytes of contexts in a shard.
 SHARD = 1 << 20
 #: Low bits that hold a gram's place while the least hash is sought; equal hashes yield the first.
@@ -55,29 +56,31 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, passag
     most: windows of a text that are taken, where the rest are another piece's.
     """
     width = passage - GRAM + 1
-    n = len(data) - GRAM + 1
-    sizes = np.diff(offsets)
-    windows = np.maximum(sizes - passage + 1, 0)
+    n = len(data) - passage + 1
+    valid = np.ones(max(n, 0), bool)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        valid[max(a, b - passage + 1) : b] = False
     if most is not None:
-        windows = np.minimum(windows, most)
-    if n < width or not windows.any():
+        valid[most:] = False
+    if not valid.any():
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty, empty.view(U), empty.view(U)
-    places = np.arange(n)
-    hashes = span_hashes(data, places, places + GRAM)
-    least = sliding_least((hashes >> U(PLACE) << U(PLACE)) | places.astype(U), width)
-    anchor = (least & U((1 << PLACE) - 1)).astype(np.int64)
-    text = np.repeat(np.arange(len(sizes)), windows)
-    start = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows) + offsets[text]
-    own = anchor[start]
-    new = np.concatenate([[True], (own[1:] != own[:-1]) | (text[1:] != text[:-1])])
-    first = np.flatnonzero(new)
-    count = np.diff(np.concatenate([first, [len(text)]]))
-    begin = start[first]
-    end = np.minimum(begin + count - 1 + length, offsets[text[first] + 1])
+    sums, back = prefix_sums(data), powers(INVERSE, len(data) + 1)
+    hashes = mix((sums[GRAM:] - sums[:-GRAM]) * back[: len(data) - GRAM + 1])
+    places = np.arange(len(hashes), dtype=U)
+    anchor = sliding_least((hashes >> U(PLACE) << U(PLACE)) | places, width) & U((1 << PLACE) - 1)
+    other = anchor[1:] != anchor[:-1]
+    # Between the windows of two texts there are some that belong to none.
+    new, last = valid.copy(), valid.copy()
+    new[1:] &= other | ~valid[:-1]
+    last[:-1] &= other | ~valid[1:]
+    begin = np.flatnonzero(new)
+    count = np.flatnonzero(last) - begin + 1
+    text = np.searchsorted(offsets, begin, "right") - 1
+    end = np.minimum(begin + count - 1 + length, offsets[text + 1])
     # Contexts alike in bytes but not in windows, as at the end of a text, are told apart.
-    names = mix(span_hashes(data, begin, end, 1) + count.astype(U))
-    return text[first], begin - offsets[text[first]], count, end - begin, hashes[own[first]], names
+    names = mix(mix((sums[end] - sums[begin]) * back[begin]) + count.astype(U) + ((end - begin).astype(U) << U(32)))
+    return text, begin - offsets[text], count, end - begin, hashes[anchor[begin].astype(np.int64)], names
 
 
 def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,7 +107,8 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     new = np.ones(n, bool)
     new[1:] = (rank_key[1:] != rank_key[:-1]) | alone[1:] | alone[:-1]
     # A group's rank is the place of its last member.
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
+    short_left = left.astype(np.int32)
 
     def last_of(new: np.ndarray, base: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(new)
@@ -112,21 +116,35 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
         return np.repeat(base[at + sizes - 1], sizes)
 
     rank[sa] = last_of(new, np.arange(n))
+    tied = ~new
+    tied[:-1] |= ~new[1:]
+    member = np.flatnonzero(tied)
+    group = np.cumsum(new)[member]
+    bits = n.bit_length() + 1
     h = 8
-    member = np.flatnonzero(~new | ~np.concatenate([new[1:], [True]]))
     while len(member):
         at = sa[member]
-        group = rank[at]
-        # Where the part ends just there, its end comes next: before all ranks, by part.
-        beyond = np.where(left[at] > h, rank[np.minimum(at + h, n - 1)], at - n)
-        order = np.argsort(group * (2 * n + 1) + beyond)
-        at, group, beyond = at[order], group[order], beyond[order]
+        # Members lie in order of their groups: numbered anew, these leave room for two steps' ranks in 64 bits.
+        group = np.cumsum(np.concatenate([[False], group[1:] != group[:-1]])).astype(U)
+        room = 64 - max(1, int(group[-1]).bit_length())
+        key, steps = group, 0
+        while steps < 2 and room >= bits:
+            steps, room = steps + 1, room - bits
+            # Where the part ends before, its end comes next: before all ranks, by part. What follows an end decides nothing.
+            far = at + steps * h
+            beyond = np.where(short_left[at] > steps * h, rank[np.minimum(far, n - 1)] + n, at)
+            key = (key << U(bits)) | beyond.astype(U)
+        order = np.argsort(key)
+        key, at = key[order], at[order]
         sa[member] = at
         new = np.ones(len(member), bool)
-        new[1:] = (group[1:] != group[:-1]) | (beyond[1:] != beyond[:-1])
+        new[1:] = key[1:] != key[:-1]
         rank[at] = last_of(new, member)
-        member = member[~new | ~np.concatenate([new[1:], [True]])]
-        h *= 2
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        group = np.cumsum(new)[tied]
+        member = member[tied]
+        h *= steps + 1
     return sa, rank, packed, left
 
 
@@ -225,8 +243,13 @@ def context_rows(rows: DataFrame, length: int, passage: int, piece: int = PIECE)
     return rows.select("k1", "k2", "text").mapInArrow(run, CONTEXTS)
 
 
-def spans_of_windows(places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    return merged_runs(places, places + length)
+def spans_of_windows(owner: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What windows of the length cover, from their places in order within each owner: (first window's index, starts, ends)."""
+    new = np.ones(len(places), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (places[1:] > places[:-1] + length)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(places))[: len(first)] - 1
+    return first, places[first], places[last] + length
 
 
 def shard_repeats(table: pa.Table, length: int, passage: int) -> pa.Table:
@@ -237,16 +260,18 @@ def shard_repeats(table: pa.Table, length: int, passage: int) -> pa.Table:
     found, at, data = repeated_windows(parts, windows, lengths)
     ranges = int(table.column("parts")[0].as_py())
     out: dict[str, list] = {c.split()[0]: [] for c in FOUND.split(", ")}
+    spans = []
 
     def add(**row: object) -> None:
         for c, own in out.items():
             own.append(row.get(c))
 
     for kind, (size, repeated) in enumerate(zip(lengths, found)):
-        for i in np.flatnonzero(n == 1).tolist():
-            s, e = spans_of_windows(np.flatnonzero(repeated[at[i] : at[i] + windows[i]]) + int(start[i]), size)
-            for a, b in zip(s.tolist(), e.tolist()):
-                add(k1=int(k1[i]), k2=int(k2[i]), kind=kind, s=a, e=b)
+        hit = np.flatnonzero(repeated)
+        own = np.searchsorted(at, hit, "right") - 1
+        hit, own = hit[n[own] == 1], own[n[own] == 1]
+        first, s, e = spans_of_windows(own, hit - at[own] + start[own], size)
+        spans.append(pa.table({"k1": k1[own[first]], "k2": k2[own[first]], "kind": np.full(len(s), kind, np.int8), "s": s, "e": e}))
     if ranges > 1:
         part = np.repeat(np.arange(len(parts)), windows)
         offset = np.arange(len(part)) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -272,7 +297,8 @@ def shard_repeats(table: pa.Table, length: int, passage: int) -> pa.Table:
                 if b > a:
                     add(kind=kind, key=key, part=r, sub=sub, digests=first[order][a:b].tobytes(), checks=second[order][a:b].tobytes(), places=record[a:b].tobytes())
     kinds = {"long": pa.int64(), "byte": pa.int8(), "int": pa.int32(), "binary": pa.binary()}
-    return pa.table({c.split()[0]: pa.array(out[c.split()[0]], kinds[c.split()[1]]) for c in FOUND.split(", ")})
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in FOUND.split(", ")])
+    return pa.concat_tables([pa.table([pa.array(out[f.name], f.type) for f in schema], schema), *spans], promote_options="default").cast(schema)
 
 
 def merge_ranges(table: pa.Table, length: int, passage: int) -> pa.Table:
@@ -289,16 +315,18 @@ def merge_ranges(table: pa.Table, length: int, passage: int) -> pa.Table:
         twice[twice] = (checks[low[twice]] == own[twice]) & (checks[low[twice] + 1] == own[twice])
         found.append(places[twice])
     hits = np.concatenate(found)
-    out: list[list[int]] = [[], [], [], []]
     hits = hits[np.lexsort((hits["at"], hits["k2"], hits["k1"]))]
-    if len(hits):
-        new = np.flatnonzero(np.concatenate([[True], (hits["k1"][1:] != hits["k1"][:-1]) | (hits["k2"][1:] != hits["k2"][:-1])]))
-        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(hits)]):
-            for s, e in zip(*(x.tolist() for x in spans_of_windows(hits["at"][a:b], (passage, length)[kind]))):
-                for own, v in zip(out, (int(hits["k1"][a]), int(hits["k2"][a]), s, e)):
-                    own.append(v)
-    k1, k2, s, e = (pa.array(v, pa.int64()) for v in out)
-    return pa.table({"k1": k1, "k2": k2, "kind": pa.array([kind] * len(k1), pa.int8()), "s": s, "e": e})
+    other = np.ones(len(hits), bool)
+    other[1:] = (hits["k1"][1:] != hits["k1"][:-1]) | (hits["k2"][1:] != hits["k2"][:-1])
+    first, s, e = spans_of_windows(np.cumsum(other), hits["at"], (passage, length)[kind])
+    return pa.table({"k1": hits["k1"][first], "k2": hits["k2"][first], "kind": np.full(len(s), kind, np.int8), "s": s, "e": e})
+
+
+def listed(column: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The structs of a column of lists: the row each is of, and their fields."""
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0))
+    values = pa.compute.list_flatten(column)
+    return np.repeat(np.arange(len(sizes)), sizes), {f.name: np.asarray(values.field(i)) for i, f in enumerate(values.type)}
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, shard: int = SHARD, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,17 +344,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE,
     wanted = seen.join(keys, "key").groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "c1", "n", "start", "windows", "bytes", "size")).alias("cut"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "k2", "key", "c1", "n", "start", "windows", "size", "bytes"]
         for batch in batches:
             for part, data, offsets in text_pieces(batch):
                 raw = data.tobytes()
-                out: list[tuple] = []
-                for k, (k1, k2, own) in enumerate(zip(*(part.column(i).to_pylist() for i in (0, 1, 3)))):
-                    for c in own:
-                        at = int(offsets[k]) + c["start"]
-                        out.append((k1, k2, c["key"], c["c1"], c["n"], c["start"], c["windows"], c["size"], raw[at : at + c["bytes"]]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (*[pa.int64()] * 6, pa.int32(), pa.int64(), pa.binary()))], names=names)
+                of, own = listed(part.column(3))
+                begin = offsets[of] + own["start"]
+                pieces = [raw[a:b] for a, b in zip(begin.tolist(), (begin + own["bytes"]).tolist())]
+                columns = {"k1": np.asarray(part.column(0))[of], "k2": np.asarray(part.column(1))[of], **{c: own[c] for c in ("key", "c1", "n", "start", "windows", "size")}}
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns.values()), pa.array(pieces, pa.binary())], names=[*columns, "bytes"])
 
     texts = rows.select("k1", "k2", "text").join(wanted.hint("shuffle_hash"), ["k1", "k2"])
     parts = texts.mapInArrow(cut, "k1 long, k2 long, key long, c1 long, n long, start long, windows int, size long, bytes binary").dropDuplicates(["k1", "k2", "start"])
@@ -350,10 +375,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE,
             for part, data, offsets in text_pieces(batch):
                 raw = data.tobytes()
                 out: list[list] = [[], [], [], []]
-                for k, own in enumerate(part.column(2).to_pylist()):
+                of, own = listed(part.column(2))
+                first = np.searchsorted(of, np.arange(part.num_rows + 1))
+                for k in range(part.num_rows):
                     text = raw[offsets[k] : offsets[k + 1]]
-                    (a, b), (s, e) = (merged_runs(*(np.array([x[c] for x in own or [] if x["kind"] == kind], np.int64) for c in "se")) for kind in (0, 1))
-                    kept = b"".join(text[i:j] for i, j in zip([0, *e.tolist()], [*s.tolist(), len(text)]))
+                    at = slice(first[k], first[k + 1])
+                    kinds, begin, end = own["kind"][at], own["s"][at], own["e"][at]
+                    (a, b), (s, e) = (merged_runs(begin[kinds == kind], end[kinds == kind]) for kind in (0, 1))
+                    kept = b"".join(text[i:j] for i, j in zip([0, *e.tolist()], [*s.tolist(), len(text)])) if len(s) else text
                     for x, v in zip(out, (len(text) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), int((b - a).sum()))):
                         x.append(v)
                 columns = [part.column(0), pa.array(np.diff(offsets)), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.int64())))]
