@@ -93,14 +93,16 @@ def test_suffix_array_and_prefixes(seed):
     data = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.array([len(p) for p in parts])
     ends = np.cumsum(sizes)
-    sa, _, packed, left = suffixes.suffix_array(data, ends)
+    sa, packed, left, deep = suffixes.suffix_array(data, ends, 30)
     # The end of a part sorts first, by part.
     suffix = lambda i: [b + 1000 for b in data[i : i + left[i]].tolist()] + [int(np.searchsorted(ends, i, "right"))]
     assert sa.tolist() == sorted(range(len(data)), key=suffix)
-    for windows in (sizes, np.maximum(sizes - 5, 0)):
-        ranked, shared = suffixes.common_prefixes(sa, packed, left, ends - sizes, windows, 1 << 20)
-        first = {i for s, n in zip((ends - sizes).tolist(), windows.tolist()) for i in range(s, s + n)}
-        assert ranked.tolist() == [i for i in sa.tolist() if i in first]
-        for a, b, n in zip(ranked[:-1].tolist(), ranked[1:].tolist(), shared[1:].tolist()):
+    shared = {}
+    for chosen in (np.ones(len(data), bool), left > 5, deep):
+        ranked, n = suffixes.common_prefixes(sa, packed, left, chosen, 1 << 20)
+        assert ranked.tolist() == [i for i in sa.tolist() if chosen[i]]
+        for a, b, k in zip(ranked[:-1].tolist(), ranked[1:].tolist(), n[1:].tolist()):
             x, y = suffix(a)[:-1], suffix(b)[:-1]
-            assert n == next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+            assert k == next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+            shared[a], shared[b] = (max(shared.get(i, 0), k) for i in (a, b))
+    assert all(deep[i] for i, k in shared.items() if k >= 30)

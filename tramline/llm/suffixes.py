@@ -83,8 +83,8 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, passag
     return text, begin - offsets[text], count, end - begin, hashes[anchor[begin].astype(np.int64)], names
 
 
-def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions sorted by the bytes from there to the end of their part, their ranks, the eight bytes from each position packed, and what is left of its part.
+def suffix_array(data: np.ndarray, ends: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions sorted by the bytes from there to the end of their part, the eight bytes from each position packed, what is left of its part, and which positions may share least bytes with another.
 
     ends are where the parts end. A part's end sorts before all bytes and differs from any other, so no match runs past it.
     """
@@ -122,8 +122,13 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     group = np.cumsum(new)[member]
     bits = n.bit_length() + 1
     h = 8
+    deep = np.ones(n, bool)
     while len(member):
         at = sa[member]
+        if h <= least:
+            # Positions that the first h bytes tell from all others share less.
+            deep[:] = False
+            deep[at] = True
         # Members lie in order of their groups: numbered anew, these leave room for two steps' ranks in 64 bits.
         group = np.cumsum(np.concatenate([[False], group[1:] != group[:-1]])).astype(U)
         room = 64 - max(1, int(group[-1]).bit_length())
@@ -145,7 +150,9 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
         group = np.cumsum(new)[tied]
         member = member[tied]
         h *= steps + 1
-    return sa, rank, packed, left
+    if h <= least:
+        deep[:] = False
+    return sa, packed, left, deep
 
 
 def leading_zero_bytes(x: np.ndarray) -> np.ndarray:
@@ -158,18 +165,19 @@ def leading_zero_bytes(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def common_prefixes(sa: np.ndarray, packed: np.ndarray, left: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The windows (the first sizes positions from each start) in the order of the suffix array, and the length each shares with the one before, up to most.
+def common_prefixes(sa: np.ndarray, packed: np.ndarray, left: np.ndarray, chosen: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen positions in the order of the suffix array, and the length each shares with the one before, up to most.
 
-    Kasai's pass: along a part the length falls by one at most, as long as the window before moves along with it. All
-    parts take their steps together, and compare eight bytes at a time.
+    Kasai's pass: along a run of chosen positions the length falls by one at most, as long as the position before moves along with
+    it. All runs take their steps together, and compare eight bytes at a time.
     """
     n = len(sa)
-    window = np.zeros(n + 1, bool)
-    window[np.repeat(starts, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = True
-    ranked = sa[window[sa]]
+    ranked = sa[chosen[sa]]
     before = np.full(n, -1, np.int64)
     before[ranked[1:]] = ranked[:-1]
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], chosen.view(np.int8), [0]])))
+    starts, sizes = edge[::2], edge[1::2] - edge[::2]
+    window = np.append(chosen, False)
     out = np.zeros(n, np.int64)
     length = np.zeros(len(starts), np.int64)
     met = np.zeros(len(starts), bool)
@@ -205,8 +213,11 @@ def repeated_windows(parts: list[bytes], windows: np.ndarray, lengths: tuple[int
     data = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.array([len(p) for p in parts], np.int64)
     ends = np.cumsum(sizes)
-    sa, _, packed, left = suffix_array(data, ends)
-    ranked, shared = common_prefixes(sa, packed, left, ends - sizes, np.asarray(windows, np.int64), max(lengths))
+    sa, packed, left, deep = suffix_array(data, ends, min(lengths))
+    windows = np.asarray(windows, np.int64)
+    chosen = np.zeros(len(data), bool)
+    chosen[np.repeat(ends - sizes, windows) + np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)] = True
+    ranked, shared = common_prefixes(sa, packed, left, chosen & deep, max(lengths))
     found = []
     for length in lengths:
         repeated = np.zeros(len(data), bool)
