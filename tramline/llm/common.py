@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -80,6 +81,12 @@ def stored(df: DataFrame, name: str = "table", partition_by: str | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets the cleaner drop the shuffle files of finished writes now: it learns of them when the driver collects garbage, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_keys(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
     """128 bits naming a row by its id and text. Rows alike in both share a key, and share every result."""
     return (
