@@ -40,6 +40,8 @@ CORE, WEIGHED = 0.5, 0.975
 BINS = 64
 #: Rows of a larger group that an estimate is drawn towards.
 PRIOR_ROWS = 20
+#: Groups whose estimates (some 200 bytes each, from three starts) go to the tasks whole.
+FEW_GROUPS = 50_000
 #: Chance with which Gaussian data pass the final cut.
 REJECT = 1e-5
 #: Variance of rounding to whole numbers.
@@ -194,11 +196,12 @@ def first_estimates(cells: DataFrame) -> DataFrame:
     return nearest_half(rows.select("gid", "c", *X, F.posexplode(measures).alias("start", "measure")))
 
 
-def least_determinants(cells: DataFrame) -> DataFrame:
+def least_determinants(cells: DataFrame, few: bool) -> DataFrame:
     """(gid, estimate): concentration steps from every start until no determinant falls, and the least of each group."""
+    sent = F.broadcast if few else lambda df: df
     best = stored(first_estimates(cells), "estimates").withColumn("falls", F.lit(True))
     while True:
-        near = with_distance(cells.join(best.where("falls").select("gid", "start", *ESTIMATE), "gid"), "measure")
+        near = with_distance(cells.join(sent(best.where("falls").select("gid", "start", *ESTIMATE)), "gid"), "measure")
         new = nearest_half(near.select("gid", "start", "c", *X, "measure")).withColumnsRenamed({c: f"new_{c}" for c in ["logdet", *ESTIMATE]})
         both = best.join(new, ["gid", "start"], "left")
         falls = F.coalesce(F.col("new_logdet") < F.col("logdet") - 1e-9, F.lit(False))
@@ -211,8 +214,10 @@ def covariance_estimates(rows: DataFrame, by: list[str]) -> DataFrame:
     """(gid, estimate) of the groups of all columns of by, from rows with by, x0.. and v0..."""
     cells = rows.groupBy(*by, *X).agg(F.count("*").alias("c"))
     cells = stored(with_levels(cells, by).groupBy("gid", "level", "parent", *X).agg(F.sum("c").alias("c")), "cells")
-    raw = least_determinants(cells.select("gid", "c", *X))
-    near = with_distance(with_levels(rows, by).select("gid", *X, *[f"v{i}" for i in range(DIM)]).join(raw, "gid"), "distance", uncertain=True)
+    # The whole corpus is one key of the joins below: estimates go to the tasks, where a count shows that they are few.
+    few = cells.select("gid").distinct().count() <= FEW_GROUPS
+    raw = least_determinants(cells.select("gid", "c", *X), few)
+    near = with_distance(with_levels(rows, by).select("gid", *X, *[f"v{i}" for i in range(DIM)]).join(F.broadcast(raw) if few else raw, "gid"), "distance", uncertain=True)
     near = near.where(F.col("distance") <= chi2_quantile(WEIGHED, DIM)).groupBy("gid", *X).agg(F.count("*").alias("c"))
     weighed = moments(near.groupBy("gid").agg(*sums(F.col("c"))), consistency(WEIGHED))
     groups = cells.select("gid", "level", "parent").distinct()
