@@ -137,11 +137,11 @@ def test_planner(spark, derived):
     tuples = {tuple(r)[1:] for r in plan.at("stop/0").profile_to().where("stop = 'stop/1'").collect()}
     assert {(r["departure"], r["arrival"], r["vehicles"]) for r in every} == tuples
     thin = plan.with_isochrone_filter()
-    assert thin.snapshot.connections.count() < snap.connections.count()
+    assert thin.connections_of_use().count() < snap.connections.count()
     assert {(r["departure"], r["arrival"], r["vehicles"]) for r in thin.all_journeys().collect()} == tuples
     last = plan.latest_departure().collect()
     assert last[0]["departure"] == max(t[0] for t in tuples)
-    assert plan.reset_filter().earlier is None
+    assert thin.filtered and not thin.reset_filter().filtered
     walk = Planner(snap).between("stop/0", "stop/1").direct().collect()
     assert [(r["from_stop"], r["to_stop"]) for r in walk] == [("stop/0", "stop/1")]
     with pytest.raises(InvalidRequest):
@@ -159,7 +159,7 @@ def test_requests_beyond_the_kernel_go_by_rounds(spark, derived, monkeypatch):
     plan = Planner(snap).between("stop/1", "stop/0").window(DAY, DAY + 86400)
     near = plan.earliest_arrival().first()["arrival"]
     late = plan.latest_departure().first()["departure"]
-    monkeypatch.setattr(module, "KERNEL_ROWS", 10)
+    monkeypatch.setattr(module, "KERNEL_BYTES", 10)
     assert plan.earliest_arrival().first()["arrival"] == near
     assert plan.latest_departure().first()["departure"] == late
 
@@ -172,7 +172,7 @@ def test_all_journeys_do_not_depend_on_the_kernels_rows(spark, derived, monkeypa
     plan = Planner(snap, Profile(max_transfers=most)).between("stop/1", "stop/0").window(DAY, DAY + 86400)
     asks = (plan.all_journeys, plan.earliest_arrival, plan.latest_departure)
     near = [[tuple(r) for r in ask().collect()] for ask in asks]
-    monkeypatch.setattr(module, "KERNEL_ROWS", 10)
+    monkeypatch.setattr(module, "KERNEL_BYTES", 10)
     beyond = [[tuple(r) for r in ask().collect()] for ask in asks]
     assert sorted(map(str, beyond[0])) == sorted(map(str, near[0])) and len(near[0]) > 1
     assert [x[0][2:4] for x in beyond[1:]] == [x[0][2:4] for x in near[1:]] and all(x[0][-1] for x in beyond[1:])

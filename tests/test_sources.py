@@ -86,8 +86,8 @@ def test_linked_connections(spark, tmp_path):
 
     loader = lc.Downloader(fetch=fetch)
     start, end = datetime(2020, 1, 6, 10, 0, 30, tzinfo=UTC), datetime(2020, 1, 6, 10, 20, tzinfo=UTC)
-    assert lc.download_pages(base, start, end, str(pages), loader) == (2, 0)
-    assert lc.download_pages(base, start, end, str(pages), loader) == (0, 2)
+    assert lc.download_pages(spark, base, start, end, str(pages), loader) == (2, 0)
+    assert lc.download_pages(spark, base, start, end, str(pages), loader) == (0, 2)
     places.write_text(json.dumps({"@graph": [{"@id": s, "name": f"Stop {s}", "latitude": "51.0", "longitude": "3.0", "alternative": [{"@language": "nl", "@value": f"Halte {s}"}]} for s in "AB"]}))
     at = int(start.timestamp()) - 30
     snap = lc.read_linked_connections(spark, f"file://{pages}", f"file://{places}", at, at + 3600)

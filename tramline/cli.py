@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import sys
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
@@ -16,6 +17,7 @@ from .model import Snapshot
 from .operators import aggregates, filters, sets, validate
 from .operators.filters import remove_delays
 from .sources import gtfs, lc, osm, sinks, snapshots
+from .storage import shared_dir
 
 
 class UsageError(ValueError):
@@ -106,8 +108,9 @@ def execute(state: State, parsed: list[tuple[Switch, dict]]) -> list[Snapshot]:
     return state.snapshots
 
 
-def _show(state: State, rows, n: int = 1000) -> None:
-    for r in rows.limit(n).collect():
+def _show(state: State, rows) -> None:
+    """Every row, a partition at a time."""
+    for r in rows.toLocalIterator():
         state.out("\t".join("" if v is None else str(v) for v in r))
 
 
@@ -131,8 +134,13 @@ def _paths(text: str) -> list[str]:
 
 
 def _read_lc(state: State, given: dict) -> None:
+    """From folders, or over HTTP through the shared folder."""
     start, secs = _times(given)
     at = int(start.timestamp())
+    if given["connections"].startswith(("http://", "https://")):
+        folder = f"{shared_dir(state.spark)}/pages-{uuid.uuid4().hex}"
+        state.snapshots.append(lc.use_linked_connections(state.spark, given["connections"], given["locations"], start, start + timedelta(seconds=secs), folder))
+        return
     state.snapshots.append(lc.read_linked_connections(state.spark, given["connections"], given["locations"], at, at + secs))
 
 
@@ -213,7 +221,7 @@ _TIME = (("start", "today"), ("duration", "1day"))
 _EMPTY = ("allow-empty", "false")
 SWITCHES: list[Switch] = [
     Switch(("--read-gtfs", "--rgtfs"), "source", (("path", ...), *_TIME), _read_gtfs, "Reads unpacked feeds for the days of a window."),
-    Switch(("--read-lc", "--read-linked-connections", "--rlc"), "source", (("connections", ...), ("locations", ...), *_TIME), _read_lc, "Reads downloaded pages and locations."),
+    Switch(("--read-lc", "--read-linked-connections", "--rlc"), "source", (("connections", ...), ("locations", ...), *_TIME), _read_lc, "Reads pages and locations, downloaded or over HTTP."),
     Switch(("--read-osm", "--read-open-street-map-relation", "--rosm"), "source", (("relation", ...), *_TIME), _read_osm, "Reads a route relation and makes its runs."),
     Switch(("--read-transit-db", "--read", "--rdb"), "source", (("file", ...),), _read_db, "Reads written snapshots."),
     Switch(("--select-time", "--filter-time"), "modifier", (("start", ...), ("duration", ...), _EMPTY), _select_time, "Keeps departures of a window."),

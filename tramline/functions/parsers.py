@@ -93,7 +93,7 @@ def file_name(text: Column) -> Column:
     return F.regexp_replace(text, r'[\\/:*?"<>|\x00-\x1f]', "_")
 
 
-MAP_URL = r"^(?:https?://)?(?:www\.)?(?:openstreetmap\.org|osm\.org)/?#map=(\d+(?:\.\d+)?)/(-?\d+(?:\.\d+)?)/(-?\d+(?:\.\d+)?)"
+MAP_URL = r"^(?:https?://)?(?:www\.)?(?:openstreetmap\.(?:org|com)|osm\.org)/?#map=(\d+(?:\.\d+)?)/(-?\d+(?:\.\d+)?)/(-?\d+(?:\.\d+)?)"
 
 
 def map_place(url: Column) -> tuple[Column, Column]:
@@ -194,7 +194,9 @@ month_day = (month + (space >> integer.check(lambda d: 1 <= d <= 31))).map(lambd
 week = (literal("week") >> space >> integer.check(lambda w: 1 <= w <= 53)).map(lambda w: ("week", w))
 easter_day = literal("easter").map(lambda _: ("easter", 0))
 comment = regex(r'"[^"]*"').map(lambda c: ("comment", c[1:-1]))
-term = hour_minute | week | easter_day | month_day | month | weekday | comment
+#: A weekday within a month, as in "Oct Sa".
+month_weekday = (month + (space >> weekday)).map(lambda x: ("chain", x[0], x[1]))
+term = hour_minute | week | easter_day | month_day | month_weekday | month | weekday | comment
 
 
 def ranged(p: Parser) -> Parser:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Snapshot, all_of, is_cancelled
@@ -144,24 +144,40 @@ def scan_from(connections: DataFrame, time: int, backward: bool = False) -> Data
     return connections.where(F.col("dep_time") >= time).orderBy("dep_time", "conn_id")
 
 
-def next_departures(arrivals: DataFrame, connections: DataFrame, transfer: int = 180) -> DataFrame:
-    """For each (stop, arrival) the first connection that leaves there after the transfer time.
+#: Seconds of a slot of time within which rows of a stop meet in one task.
+SLOT = 3600
+
+
+def next_at(left: DataFrame, right: DataFrame, key: str, time: str, columns: Sequence[str]) -> DataFrame:
+    """left with the columns of the first row of right of its key at its time or later (null if there is none): an as-of join forward.
 
-    Connections and arrivals of a stop meet once, sorted: a window carries the next departure back over later rows, so pairs are never built.
+    Rows of a key meet by slots of time, so that a hub is many tasks; what follows in later slots comes from a small table of each slot's first row.
+    Of rows of right alike in key and time the least in columns counts.
     """
-    a = arrivals.select("stop", F.col("arrival").alias("t"), F.lit(None).cast("string").alias("conn_id"), "arrival").withColumn("t", F.col("t") + transfer)
-    c = connections.select(F.col("dep_stop").alias("stop"), F.col("dep_time").alias("t"), "conn_id", F.lit(None).cast("bigint").alias("arrival"))
-    from pyspark.sql import Window
+    slot = F.floor(F.col(time) / SLOT)
+    first = right.groupBy(key, time).agg(F.min(F.struct(*columns)).alias("r")).withColumn("slot", slot)
+    own = left.withColumns({"slot": slot, "own": F.struct(*left.columns)})
+    order = Window.partitionBy(key, "slot").orderBy(F.desc(time), F.col("own").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = own.select(key, time, "slot", "own", F.lit(None).cast(first.schema["r"].dataType).alias("r")).unionByName(first.select(key, time, "slot", F.lit(None).cast(own.schema["own"].dataType).alias("own"), "r"))
+    inside = both.withColumn("near", F.last("r", ignorenulls=True).over(order)).where("own IS NOT NULL").select(key, "slot", "own", "near")
+    # The first row of the next slot that has any, for every slot asked for.
+    heads = first.groupBy(key, "slot").agg(F.min_by("r", time).alias("head")).withColumn("asks", F.lit(False))
+    asked = own.select(key, "slot").distinct().select(key, "slot", F.lit(None).cast(first.schema["r"].dataType).alias("head"), F.lit(True).alias("asks"))
+    slots = heads.unionByName(asked).groupBy(key, "slot").agg(F.max("head").alias("head"), F.max("asks").alias("asks"))
+    ahead = Window.partitionBy(key).orderBy("slot").rowsBetween(1, Window.unboundedFollowing)
+    slots = slots.withColumn("far", F.first("head", ignorenulls=True).over(ahead)).where("asks").select(key, "slot", "far")
+    found = inside.join(slots, [key, "slot"], "left").withColumn("r", F.coalesce("near", "far"))
+    return found.select("own.*", *[F.col("r")[c].alias(c) for c in columns])
 
-    order = Window.partitionBy("stop").orderBy(F.desc("t"), F.col("arrival").isNotNull(), F.desc("conn_id")).rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(c)
-    found = both.withColumn("next", F.last(F.when(F.col("conn_id").isNotNull(), F.struct("t", "conn_id")), ignorenulls=True).over(order))
-    return found.where("arrival IS NOT NULL").select("stop", "arrival", F.col("next.conn_id").alias("conn_id"), F.col("next.t").alias("dep_time"))
+
+def next_departures(arrivals: DataFrame, connections: DataFrame, transfer: int = 180) -> DataFrame:
+    """For each (stop, arrival) the first connection that leaves there after the transfer time (ties by id), with conn_id and dep_time."""
+    asked = arrivals.select("stop", (F.col("arrival") + transfer).alias("t"), "arrival")
+    leaves = connections.select(F.col("dep_stop").alias("stop"), F.col("dep_time").alias("t"), "conn_id", "dep_time")
+    return next_at(asked, leaves, "stop", "t", ["conn_id", "dep_time"]).select("stop", "arrival", "conn_id", "dep_time")
 
 
 def continuations(connections: DataFrame) -> DataFrame:
     """Each connection with the next one of its trip (null at the trip's end)."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("trip_id").orderBy("dep_time", "conn_id")
     return connections.withColumns({"next_conn": F.lead("conn_id").over(order), "next_dep": F.lead("dep_time").over(order)})

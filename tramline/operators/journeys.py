@@ -114,8 +114,8 @@ def summarize(journeys: DataFrame) -> DataFrame:
 
 
 def count_leaves(journeys: DataFrame) -> DataFrame:
-    """How many journeys stand for each query."""
-    return journeys.groupBy("query_id").agg(F.count("*").alias("leaves"))
+    """How many equally good alternatives each journey of a query stands for: those alike in departure, arrival and vehicles."""
+    return journeys.groupBy("query_id", "departure", "arrival", "vehicles").agg(F.count("*").alias("leaves"))
 
 
 def to_text(journeys: DataFrame) -> DataFrame:

@@ -7,21 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vehicles of a journey that are told apart; the planner makes no journeys of more.
-MOST_VEHICLES = 16
-
-
 def _before(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(F.desc("dep"), F.asc("arr"), F.asc("vehicles")).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def prune(rows: DataFrame, keys: Sequence[str] = ("stop",), most_vehicles: int = MOST_VEHICLES) -> DataFrame:
-    """The distinct (keys, dep, arr, vehicles) that none dominates.
+def prune(rows: DataFrame, keys: Sequence[str] = ("stop",), most_vehicles: int | None = None) -> DataFrame:
+    """The distinct (keys, dep, arr, vehicles) that none dominates. most_vehicles: the greatest number there is; without it rows are asked.
 
     Sorted by departure falling, what can dominate a row stands before it: it does if the least arrival so far, among rows of no more vehicles,
     is no later. One running minimum for each number of vehicles finds it, so rows are never compared in pairs.
     """
     distinct = rows.select(*keys, "dep", "arr", "vehicles").distinct()
+    if most_vehicles is None:
+        most_vehicles = max(1, distinct.agg(F.max("vehicles")).first()[0] or 1)
     before = _before(keys)
     least = F.array(*[F.min(F.when(F.col("vehicles") <= v, F.col("arr"))).over(before) for v in range(1, most_vehicles + 1)])
     marked = distinct.withColumn("least", F.get(least, F.least(F.col("vehicles"), F.lit(most_vehicles)) - 1))
@@ -42,6 +40,18 @@ def on_frontier(frontier: DataFrame, candidates: DataFrame, keys: Sequence[str]
     return candidates.join(kept, [*keys, "dep", "arr", "vehicles"], "left").withColumn("on_frontier", F.coalesce("on_frontier", F.lit(False)))
 
 
+def guess_prune(partial: DataFrame, found: DataFrame, now: int) -> DataFrame:
+    """Partial journeys (stop, dep, arr, vehicles) that can still lead to one of use: a vehicle that left the start at now and stood at
+    once where they begin would not be beaten by a journey found from there (dep, arr, vehicles) that leaves after now.
+    """
+    later = found.where(F.col("dep") > now).select(F.lit(0).alias("k"), F.lit(now).cast("bigint").alias("dep"), "arr", "vehicles")
+    best = later.groupBy("vehicles").agg(F.min("arr").alias("least"))
+    ahead = best.agg(F.collect_list(F.struct("vehicles", "least")).alias("ahead"))
+    # One row: the least arrival for each number of vehicles.
+    beaten = F.exists("ahead", lambda x: (x["vehicles"] <= F.col("vehicles")) & (x["least"] <= F.col("arr")))
+    return partial.join(F.broadcast(ahead)).where(~beaten).select(*partial.columns)
+
+
 def extend_backwards(rides: DataFrame, frontier: DataFrame, transfer: int = 180) -> DataFrame:
     """Rides (trip_id, stop, dep, end_stop, end_arr) put before the journeys of a frontier that leave end_stop after the transfer, one vehicle more.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Snapshot
@@ -45,11 +45,38 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, version: str = "versio
     return rows.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth", "_old", version).select(*base.columns)
 
 
+#: Ranges that a running value over all rows is found in: rows meet range by range, and one row a range in one task.
+RANGES = 4096
+
+
+def ranged(rows: DataFrame, column: str) -> DataFrame:
+    """rows with range: which of RANGES equal ranges of the column a row lies in."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // RANGES))
+    return rows.withColumn("range", F.floor((F.col(column) - (low or 0)) / width))
+
+
+def numbered(rows: DataFrame, column: str, order: Sequence[str | Column], name: str) -> DataFrame:
+    """rows with their number from 1 in an order that begins with the column (a whole number)."""
+    rows = ranged(rows, column)
+    inner = rows.withColumn("nth", F.row_number().over(Window.partitionBy("range").orderBy(*order)))
+    sizes = rows.groupBy("range").agg(F.count("*").alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return inner.join(sizes, "range").withColumn(name, F.col("before") + F.col("nth")).drop("range", "nth", "before")
+
+
 def window_union(windows: DataFrame) -> DataFrame:
-    """Overlapping or touching windows as one."""
-    order = Window.orderBy("start_time", "end_time")
-    reach = F.max("end_time").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = windows.withColumn("new", F.when(F.col("start_time") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    """Overlapping or touching windows as one. A window is new where it starts after all before it have ended."""
+    rows = ranged(windows.select("start_time", "end_time"), "start_time")
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("range").agg(F.max("end_time").alias("most")).select("range", F.max("most").over(upto).alias("reached"))
+    inner = Window.partitionBy("range").orderBy("start_time", "end_time")
+    reach = F.greatest("reached", F.max("end_time").over(inner.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.join(ends, "range").withColumn("new", F.when(F.col("start_time") <= reach, 0).otherwise(1))
+    counts = rows.groupBy("range").agg(F.sum("new").alias("n")).select("range", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    island = F.col("before") + F.sum("new").over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.join(counts, "range").withColumn("island", island)
     return rows.groupBy("island").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time")).drop("island")
 
 
@@ -57,8 +84,12 @@ def window_difference(loaded: DataFrame, start: int, end: int) -> DataFrame:
     """The parts of [start, end) that no loaded window covers."""
     inside = loaded.where((F.col("end_time") > start) & (F.col("start_time") < end)).select(F.greatest("start_time", F.lit(start)).alias("start_time"), F.least("end_time", F.lit(end)).alias("end_time"))
     edge = loaded.sparkSession.createDataFrame([(start, start), (end, end)], "start_time bigint, end_time bigint")
-    order = Window.orderBy("start_time", "end_time")
-    rows = window_union(inside.unionByName(edge)).withColumn("next", F.lead("start_time").over(order))
+    # Windows of the union are apart: the next starts in the same range, or is the first of the next range that has any.
+    rows = ranged(window_union(inside.unionByName(edge)), "start_time")
+    heads = rows.groupBy("range").agg(F.min("start_time").alias("head"))
+    heads = heads.select("range", F.min("head").over(Window.orderBy("range").rowsBetween(1, Window.unboundedFollowing)).alias("head"))
+    inner = Window.partitionBy("range").orderBy("start_time", "end_time")
+    rows = rows.withColumn("next", F.lead("start_time").over(inner)).join(heads, "range").withColumn("next", F.coalesce("next", "head"))
     return rows.where("next > end_time").select(F.col("end_time").alias("start_time"), F.col("next").alias("end_time"))
 
 
@@ -86,8 +117,5 @@ def connection_order(connections: DataFrame) -> DataFrame:
 
 def sorted_connections(connections: DataFrame) -> DataFrame:
     """(conn_id, dep_time, seq) for connections in their order; seq counts from 0. Ranks are taken in ranges of departure, not in one task."""
-    by_day = connection_order(connections).withColumn("slot", F.floor(F.col("dep_time") / 3600))
-    inner = Window.partitionBy("slot").orderBy("dep_time", "trip_id", "rank", "conn_id")
-    ranked = by_day.select("conn_id", "dep_time", "slot", F.row_number().over(inner).alias("nth"))
-    before = ranked.groupBy("slot").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranked.join(before.drop("n"), "slot").select("conn_id", "dep_time", (F.col("before") + F.col("nth") - 1).alias("seq"))
+    ranked = numbered(connection_order(connections), "dep_time", ["dep_time", "trip_id", "rank", "conn_id"], "seq")
+    return ranked.select("conn_id", "dep_time", (F.col("seq") - 1).alias("seq"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +20,10 @@ from ..operators import filters, journeys, sets, walks
 from ..storage import stored
 from . import kernel, rounds
 
-#: Connections of a window and walks that go to the tasks whole; beyond it each request gets those of use to it.
-KERNEL_ROWS = 2_000_000
+#: Bytes of a window's connections and walks that go to the tasks whole; beyond it each request gets those of use to it.
+KERNEL_BYTES = 64 << 20
+#: Tasks that requests to the same stops are spread over.
+SPREAD = 8
 
 
 @dataclass(frozen=True)
@@ -30,6 +35,8 @@ class Profile:
     connection_filter: Column | None = None
     max_transfers: int | None = None
     legacy_transfer: bool = False
+    #: Whether a partial journey (departure, arrival, vehicles) may go on.
+    journey_filter: Callable[[int, int, int], bool] | None = None
 
 
 def epoch(t: int | datetime) -> int:
@@ -56,8 +63,7 @@ class Planner:
     start: int | None = None
     end: int | None = None
     paths: DataFrame | None = None
-    earlier: DataFrame | None = None
-    later: DataFrame | None = None
+    filtered: bool = False
 
     @property
     def snapshot(self) -> Snapshot:
@@ -103,7 +109,7 @@ class Planner:
         return found["stop_id"]
 
     def reset_filter(self) -> Planner:
-        return replace(self, earlier=None, later=None)
+        return replace(self, filtered=False)
 
     def check(self, targets: bool = True) -> None:
         """Raises InvalidRequest unless stops and window are set and fit."""
@@ -175,74 +181,116 @@ class Planner:
         return walks.footpaths(own.where(F.col("stop_id").isin(list(self.sources))), self.profile.walks, own.where(F.col("stop_id").isin(list(self.targets))))
 
     def with_isochrone_filter(self, expand: Callable[[int, int], int] | None = None) -> Planner:
-        """A planner that only sees connections of use: those reached from the sources and from which the targets are reached.
+        """A planner whose searches for all journeys only take connections of use: those reached from the sources and from which the targets are reached.
 
-        expand gives the last departure of interest from the start and the earliest arrival (by default the window's end).
+        The scans that find them run beside the search itself. expand gives the end of the window from the start and the earliest arrival.
         """
         self.check()
         end = self.end
         if expand is not None:
-            first = rounds.earliest_arrivals(self._connections(), self._origins(self.sources), self.start, self.end, self.profile.transfer, self._walks())
-            at = first.where(F.col("stop").isin(list(self.targets))).agg(F.min("arrival")).first()[0]
-            end = min(end, expand(self.start, at)) if at is not None else end
-        bounded = replace(self, end=end, sources=self.sources, targets=())
-        earlier = bounded.isochrone_from()
-        later = replace(bounded, sources=self.targets).isochrone_to()
-        own = self._connections()
-        kept = filters.isochrone_filter_with_exceptions(own, earlier, [*self.sources, *self.targets])
-        kept = filters.isochrone_filter_with_exceptions(kept, later, [*self.sources, *self.targets], backward=True)
-        return replace(self, snapshots=self.snapshot.with_tables(connections=kept), earlier=earlier, later=later, end=end)
+            first = self.earliest_arrival().select("arrival").first()
+            end = min(end, expand(self.start, first[0])) if first is not None else end
+        return replace(self, filtered=True, end=end)
+
+    def isochrones(self) -> tuple[DataFrame, DataFrame]:
+        """What the filter knows, as tables: (stop, arrival) from the sources, (stop, departure) to the targets."""
+        self.check()
+        return replace(self, targets=()).isochrone_from(), replace(self, sources=self.targets, targets=()).isochrone_to()
+
+    def connections_of_use(self) -> DataFrame:
+        """The connections that the filter keeps, by joins with the isochrones."""
+        earlier, later = self.isochrones()
+        ends = [*self.sources, *self.targets]
+        kept = filters.isochrone_filter_with_exceptions(self._connections(), earlier, ends)
+        return filters.isochrone_filter_with_exceptions(kept, later, ends, backward=True)
 
 
 def _ids(x: str | Sequence[str]) -> tuple[str, ...]:
     return (x,) if isinstance(x, str) else tuple(x)
 
 
-def plan(requests: DataFrame, planner: Planner, kind: str) -> DataFrame:
+def plan(requests: DataFrame, planner: Planner, kind: str, most_bytes: int | None = None) -> DataFrame:
     """Journeys for a table of requests (query_id, from_stops, to_stops, start_time, end_time); kind: earliest, latest or all.
 
-    The connections of the requests' windows go to the tasks once if they are few enough, checked by a count; each task then answers its requests by
-    scans. Beyond that each request is scanned over the trips and walks of use to it, which rounds find; the answers are the same.
+    The connections of the requests' windows go to the tasks once if they are few enough, checked by counting their bytes; each task then answers its requests by
+    scans. Beyond that (KERNEL_BYTES) each request is scanned over the trips and walks of use to it, which rounds find; the answers are the same.
     """
     spark = requests.sparkSession
     first, last = requests.agg(F.min("start_time"), F.max("end_time")).first()
     if first is None:
         return spark.createDataFrame([], JOURNEYS)
     window = stored(rounds.in_window(planner._connections(), first, last), "window")
-    paths = planner._walks()
+    paths = stored(planner._walks().select("from_stop", "to_stop", F.col("secs").cast("bigint").alias("secs")), "walks")
     asked = requests.select("query_id", "from_stops", "to_stops", "start_time", "end_time")
-    answer, schema = _answer(planner.profile, kind), f"query_id int, journey_id int, legs array<{LEG}>"
-    if window.limit(KERNEL_ROWS + 1).count() > KERNEL_ROWS or paths.limit(KERNEL_ROWS + 1).count() > KERNEL_ROWS:
+    answer, schema = _answer(planner.profile, kind, planner.filtered), f"query_id int, journey_id int, legs array<{LEG}>"
+    if _bytes(window) + _bytes(paths) > (KERNEL_BYTES if most_bytes is None else most_bytes):
         found = _by_request(asked, window, paths, planner.profile, answer, schema)
     else:
-        rows = [tuple(r) for r in window.toPandas().itertuples(index=False)]
-        table = kernel.Timetable.of(rows, [tuple(r) for r in paths.toPandas().itertuples(index=False)])
-        shared = spark.sparkContext.broadcast(table)
+        shared = spark.sparkContext.broadcast((_packed(window), _packed(paths)))
+        token = uuid.uuid4().hex
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if token not in _tables:
+                _tables.clear()
+                _tables[token] = kernel.Timetable.of(*(list(zip(*(c.to_pylist() for c in _unpacked(x).columns))) for x in shared.value))
             for batch in batches:
-                yield answer(shared.value, batch)
+                yield answer(_tables[token], batch)
 
-        found = asked.repartition(spark.sparkContext.defaultParallelism, "query_id").mapInPandas(run, schema)
+        # Requests to the same stops meet, up to a few tasks each: a profile serves them all.
+        found = asked.repartition(spark.sparkContext.defaultParallelism, "to_stops", "start_time", "end_time", F.pmod("query_id", F.lit(SPREAD))).mapInPandas(run, schema)
     measured = journeys.measure(found)
     return measured.select("query_id", "journey_id", "departure", "arrival", F.col("vehicles").cast("int").alias("vehicles"), "travel_time", "walking_time", "legs")
 
 
-def _answer(profile: Profile, kind: str) -> Callable[[kernel.Timetable, pd.DataFrame], pd.DataFrame]:
+_tables: dict[str, kernel.Timetable] = {}
+
+
+def _bytes(rows: DataFrame) -> int:
+    """What the rows take as values, before any of them comes to the driver."""
+    texts = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "string"]
+    own = F.lit(8 * len(rows.columns))
+    for c in texts:
+        own = own + F.coalesce(F.octet_length(c), F.lit(0))
+    return int(rows.agg(F.sum(own.cast("bigint"))).first()[0] or 0)
+
+
+def _packed(rows: DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = rows.toArrow()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all()
+
+
+def _answer(profile: Profile, kind: str, filtered: bool = False) -> Callable[[kernel.Timetable, pd.DataFrame], pd.DataFrame]:
     """Rows (query_id, journey_id, legs) of requests, by scans of a timetable."""
-    transfer, most, legacy = profile.transfer, profile.max_transfers, profile.legacy_transfer
+    transfer, most, legacy, keep = profile.transfer, profile.max_transfers, profile.legacy_transfer, profile.journey_filter
+    names = ("kind", "conn_id", "trip_id", "from_stop", "to_stop", "dep", "arr")
 
     def answer(table: kernel.Timetable, batch: pd.DataFrame) -> pd.DataFrame:
         out = []
+        alike: dict[tuple, list] = defaultdict(list)
         for r in batch.itertuples(index=False):
-            ask = (table, list(r.from_stops), list(r.to_stops), int(r.start_time), int(r.end_time), transfer)
-            if kind == "all":
-                found = kernel.all_journeys(*ask, legacy_transfer=legacy, max_vehicles=None if most is None else most + 1)
-            else:
-                one = (kernel.earliest_arrival if kind == "earliest" else kernel.latest_departure)(*ask)
-                found = [] if one is None else [one]
-            names = ("kind", "conn_id", "trip_id", "from_stop", "to_stop", "dep", "arr")
-            out += [(int(r.query_id), k, [dict(zip(names, x)) for x in legs]) for k, legs in enumerate(found)]
+            alike[tuple(r.to_stops), int(r.start_time), int(r.end_time)].append(r)
+        for (targets, start, end), own in alike.items():
+            ask = (list(targets), start, end, transfer)
+            # A profile to the targets serves all requests for them; alone, a request takes only what is of use to it.
+            shared = kernel.profile_scan(table, *ask, legacy, None if most is None else most + 1, keep=keep) if kind == "all" and len(own) > 1 and not filtered else None
+            for r in own:
+                sources = list(r.from_stops)
+                if shared is not None:
+                    found = kernel.journeys_from(table, shared, sources)
+                elif kind == "all":
+                    allowed = kernel.of_use(table, sources, *ask) if filtered else None
+                    found = kernel.all_journeys(table, sources, *ask, legacy_transfer=legacy, max_vehicles=None if most is None else most + 1, allowed=allowed, keep=keep)
+                else:
+                    one = (kernel.earliest_arrival if kind == "earliest" else kernel.latest_departure)(table, sources, *ask)
+                    found = [] if one is None else [one]
+                out += [(int(r.query_id), k, [dict(zip(names, x)) for x in legs]) for k, legs in enumerate(found)]
         return pd.DataFrame(out, columns=["query_id", "journey_id", "legs"])
 
     return answer
@@ -255,7 +303,6 @@ def _by_request(asked: DataFrame, window: DataFrame, paths: DataFrame, profile:
     """
     # Without the enforced transfer, scans of the profile change after a second.
     transfer = min(profile.transfer, 1) if profile.legacy_transfer else profile.transfer
-    paths = stored(paths, "walks")
     trips, walked = [], []
     for w in asked.select("start_time", "end_time").distinct().toLocalIterator():
         start, end = w["start_time"], w["end_time"]

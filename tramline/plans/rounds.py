@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..model import can_get_off, can_get_on, is_cancelled
+from ..operators.filters import next_at
 from ..operators.pareto import prune
 from ..storage import stored
 
@@ -94,19 +95,24 @@ def rides(connections: DataFrame, start: int, end: int) -> DataFrame:
     return a.join(b, "trip_id").where(F.col("last") >= F.col("dep")).select("stop", "dep", "end_stop", "end_arr").distinct()
 
 
-def profiles(connections: DataFrame, targets: list[str], start: int, end: int, transfer: int = TRANSFER, rounds: int = 16) -> DataFrame:
-    """(stop, dep, arr, vehicles): for every stop the journeys to the targets that none beats in departure, arrival and vehicles."""
+def profiles(connections: DataFrame, targets: list[str], start: int, end: int, transfer: int = TRANSFER, rounds: int | None = None) -> DataFrame:
+    """(stop, dep, arr, vehicles): for every stop the journeys to the targets that none beats in departure, arrival and vehicles.
+
+    A round adds a vehicle; rounds end when none adds a journey. Of the journeys that a ride can be put before, all of one number of vehicles
+    and none beaten, the first that still can be caught arrives first: rides and departures meet in one as-of join, never in pairs.
+    """
     own = stored(rides(connections, start, end), "rides")
-    last = stored(prune(own.where(F.col("end_stop").isin(targets)).select("stop", "dep", F.col("end_arr").alias("arr"), F.lit(1).alias("vehicles"))), "profile")
+    last = stored(prune(own.where(F.col("end_stop").isin(targets)).select("stop", "dep", F.col("end_arr").alias("arr"), F.lit(1).alias("vehicles")), most_vehicles=1), "profile")
     front, known = last, last
     # Journeys that start where they end are of no use.
     own = own.where(~F.col("stop").isin(targets))
-    for _ in range(1, rounds):
-        # The first of equal or later departures that arrives no later is enough: of a frontier each departure is its own.
-        later = front.select(F.col("stop").alias("end_stop"), F.col("dep").alias("next_dep"), "arr", "vehicles")
-        met = own.join(later, "end_stop").where(F.col("next_dep") >= F.col("end_arr") + transfer)
-        new = met.groupBy("stop", "dep", (F.col("vehicles") + 1).alias("v")).agg(F.min("arr").alias("arr")).select("stop", "dep", "arr", F.col("v").alias("vehicles"))
-        merged = stored(prune(known.unionByName(new)), "profile")
+    vehicles = 1
+    while rounds is None or vehicles < rounds:
+        asked = own.select(F.col("end_stop").alias("at"), (F.col("end_arr") + transfer).alias("t"), "stop", "dep")
+        met = next_at(asked, front.select(F.col("stop").alias("at"), F.col("dep").alias("t"), "arr"), "at", "t", ["arr"])
+        vehicles += 1
+        new = met.where("arr IS NOT NULL").groupBy("stop", "dep").agg(F.min("arr").alias("arr")).withColumn("vehicles", F.lit(vehicles))
+        merged = stored(prune(known.unionByName(new), most_vehicles=vehicles), "profile")
         front = merged.join(known, ["stop", "dep", "arr", "vehicles"], "left_anti")
         known = merged
         if front.isEmpty():

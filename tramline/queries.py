@@ -89,10 +89,10 @@ def _(spark, d):
     return conns(filters.select_trip(snapshot(spark, d), "trip/1019737").connections)
 
 
-@query("flt_05_remove_unused", sql("SELECT 'stop' AS kind, stop_id AS id FROM st WHERE stop_id IN (SELECT dep_stop FROM s UNION ALL SELECT arr_stop FROM s) UNION ALL SELECT 'trip', trip_id FROM tr WHERE trip_id IN (SELECT trip_id FROM s)", f"s AS (SELECT * FROM c WHERE dep_time >= {START} AND dep_time < {START} + 7200)"))
+@query("flt_05_remove_unused", sql("SELECT 'stop' AS kind, stop_id AS id FROM st WHERE stop_id IN (SELECT dep_stop FROM s UNION ALL SELECT arr_stop FROM s) UNION ALL SELECT 'trip', trip_id FROM tr WHERE trip_id IN (SELECT trip_id FROM s)", "s AS (SELECT * FROM c WHERE mode = 1 AND travel_time < 3600)"))
 def _(spark, d):
     snap = snapshot(spark, d)
-    own = filters.remove_unused(snap.with_tables(connections=snap.connections.where((F.col("dep_time") >= START) & (F.col("dep_time") < START + 7200))))
+    own = filters.remove_unused(snap.with_tables(connections=snap.connections.where("mode = 1 AND travel_time < 3600")))
     return own.stops.select(F.lit("stop").alias("kind"), F.col("stop_id").alias("id")).unionByName(own.trips.select(F.lit("trip").alias("kind"), F.col("trip_id").alias("id")))
 
 
@@ -300,8 +300,8 @@ def frontier_sql(source: str, keys: str = "stop") -> str:
     return f"SELECT DISTINCT c0.* FROM {source} c0 WHERE NOT EXISTS (SELECT 1 FROM {source} g WHERE g.{keys} = c0.{keys} AND g.dep >= c0.dep AND g.arr <= c0.arr AND g.vehicles <= c0.vehicles AND (g.dep > c0.dep OR g.arr < c0.arr OR g.vehicles < c0.vehicles))"
 
 
-def profile_sql(target: str, steps: int = 6) -> list[str]:
-    out = [f"w AS MATERIALIZED (SELECT * FROM c WHERE dep_time >= {START} AND dep_time < {END} AND arr_time <= {END} AND mode & 4 = 0)", "rd AS MATERIALIZED (SELECT DISTINCT a.dep_stop AS stop, a.dep_time AS dep, b.arr_stop AS end_stop, b.arr_time AS end_arr FROM w a JOIN w b ON a.trip_id = b.trip_id AND b.dep_time >= a.dep_time WHERE a.mode % 4 IN (0, 1) AND b.mode % 4 IN (0, 2))"]
+def profile_sql(target: str, steps: int = 6, end: int = END) -> list[str]:
+    out = [f"w AS MATERIALIZED (SELECT * FROM c WHERE dep_time >= {START} AND dep_time < {end} AND arr_time <= {end} AND mode & 4 = 0)", "rd AS MATERIALIZED (SELECT DISTINCT a.dep_stop AS stop, a.dep_time AS dep, b.arr_stop AS end_stop, b.arr_time AS end_arr FROM w a JOIN w b ON a.trip_id = b.trip_id AND b.dep_time >= a.dep_time WHERE a.mode % 4 IN (0, 1) AND b.mode % 4 IN (0, 2))"]
     out.append(f"u1 AS MATERIALIZED (SELECT DISTINCT stop, dep, end_arr AS arr, 1 AS vehicles FROM rd WHERE end_stop = '{target}')")
     out.append(f"p1 AS MATERIALIZED ({frontier_sql('u1')})")
     for k in range(2, steps + 1):
@@ -356,12 +356,12 @@ def _(spark, d):
 
 # --- frontiers and journeys --------------------------------------------------------------------------------------------
 
-TUPLES = f"tu AS MATERIALIZED (SELECT arr_stop AS stop, dep_time AS dep, arr_time AS arr, CAST(1 + event_id % 4 AS INTEGER) AS vehicles FROM c WHERE dep_time < {START})"
+TUPLES = f"tu AS MATERIALIZED (SELECT arr_stop AS stop, dep_time AS dep, arr_time AS arr, CAST(1 + event_id % 4 AS INTEGER) AS vehicles FROM c)"
 
 
 def _tuples(spark: SparkSession, d: str) -> DataFrame:
     number = F.substring_index("conn_id", "/", -1).cast("long")
-    return derive.connections(spark, d).where(F.col("dep_time") < START).select(F.col("arr_stop").alias("stop"), F.col("dep_time").alias("dep"), F.col("arr_time").alias("arr"), (1 + number % 4).cast("int").alias("vehicles"))
+    return derive.connections(spark, d).select(F.col("arr_stop").alias("stop"), F.col("dep_time").alias("dep"), F.col("arr_time").alias("arr"), (1 + number % 4).cast("int").alias("vehicles"))
 
 
 @query("par_01_add_to_frontier", sql(frontier_sql("tu"), TUPLES))
@@ -450,9 +450,9 @@ def _(spark, d):
     return journeys.legs_of(week_journeys(spark, d)).select("journey_id", "pos", "conn_id")
 
 
-@query("jny_06_count_leaves", sql("SELECT CAST(0 AS INTEGER) AS query_id, count(DISTINCT jid) AS leaves FROM wk", WEEKS))
+@query("jny_06_count_leaves", sql("SELECT CAST(0 AS INTEGER) AS query_id, dep AS departure, arr AS arrival, CAST(v AS INTEGER) AS vehicles, count(*) AS leaves FROM jn GROUP BY dep, arr, v", WEEKS, FAMILIES))
 def _(spark, d):
-    return journeys.count_leaves(week_journeys(spark, d))
+    return journeys.count_leaves(_daily(spark, d))
 
 
 @query("jny_07_measure_with", sql("SELECT CAST(jid AS INTEGER) AS journey_id, max(travel_time) AS longest FROM wk GROUP BY jid", WEEKS))
@@ -656,7 +656,7 @@ def _(spark, d):
 def _(spark, d):
     own = derive.connections(spark, d)
     both = sets.merged_scan([own.where("mode % 2 = 0"), own.where("mode % 2 = 1")])
-    return both.select("conn_id", "source_id", F.row_number().over(Window.orderBy("dep_time", "source_id", "conn_id")).cast("long").alias("n"))
+    return sets.numbered(both, "dep_time", ["dep_time", "source_id", "conn_id"], "n").select("conn_id", "source_id", F.col("n").cast("long").alias("n"))
 
 
 @query("set_04_upsert", sql("SELECT conn_id, CASE WHEN event_id % 5 <> 0 THEN dep_time + 60 * (event_id % 5) ELSE dep_time END AS dep_time FROM c"))
@@ -668,18 +668,18 @@ def _(spark, d):
     return sets.upsert(own, older.unionByName(newer).where(late != 0), "conn_id").select("conn_id", "dep_time")
 
 
-LOADED = "SELECT CAST(l_orderkey * 1000 AS BIGINT) AS s, CAST(l_orderkey * 1000 + l_quantity * 60 AS BIGINT) AS e FROM lineitem WHERE l_linenumber = 1 AND l_orderkey <= 2000"
+LOADED = "SELECT CAST(l_orderkey * 1000 AS BIGINT) AS s, CAST(l_orderkey * 1000 + l_quantity * 60 AS BIGINT) AS e FROM lineitem"
 ISLANDS = f"ld AS MATERIALIZED ({LOADED}), isl AS MATERIALIZED (SELECT min(s) AS start_time, max(e) AS end_time FROM (SELECT *, sum(fresh) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN s <= max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM ld) x) y GROUP BY g)"
 
 
 def _loaded(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("l_orderkey") * 1000
-    return derive.table(spark, d, "lineitem").where("l_linenumber = 1 AND l_orderkey <= 2000").select(k.cast("bigint").alias("start_time"), (k + F.col("l_quantity") * 60).cast("bigint").alias("end_time"))
+    return derive.table(spark, d, "lineitem").select(k.cast("bigint").alias("start_time"), (k + F.col("l_quantity") * 60).cast("bigint").alias("end_time"))
 
 
-@query("set_05_window_difference", sql("SELECT g.e AS start_time, g.nxt AS end_time FROM (SELECT e, lead(s) OVER (ORDER BY s, e) AS nxt FROM (SELECT greatest(start_time, 100000) AS s, least(end_time, 900000) AS e FROM isl WHERE end_time > 100000 AND start_time < 900000 UNION ALL SELECT 0, 100000 UNION ALL SELECT 900000, 900000) u) g WHERE g.nxt > g.e", ISLANDS))
+@query("set_05_window_difference", sql("SELECT g.e AS start_time, g.nxt AS end_time FROM (SELECT e, lead(s) OVER (ORDER BY s, e) AS nxt FROM (SELECT greatest(start_time, 100000) AS s, least(end_time, 900000000) AS e FROM isl WHERE end_time > 100000 AND start_time < 900000000 UNION ALL SELECT 0, 100000 UNION ALL SELECT 900000000, 900000000) u) g WHERE g.nxt > g.e", ISLANDS))
 def _(spark, d):
-    return sets.window_difference(_loaded(spark, d), 100000, 900000)
+    return sets.window_difference(_loaded(spark, d), 100000, 900000000)
 
 
 @query("set_06_window_union", sql("SELECT start_time, end_time FROM isl", ISLANDS))
@@ -892,10 +892,10 @@ def _(spark, d):
     return sets.first_match([own.where("lat < 51.004"), own], "stop_id").select("stop_id", "source_id")
 
 
-@query("fn_dates", sql("SELECT conn_id, epoch(make_timestamp(dep_time * 1000000) AT TIME ZONE 'Europe/Brussels')::BIGINT AS utc, strftime(make_timestamp(dep_time * 1000000), '%Y-%m-%d_%H') AS hour FROM c WHERE dep_time < 1704100000"))
+@query("fn_dates", sql("SELECT conn_id, epoch(make_timestamp(dep_time * 1000000) AT TIME ZONE 'Europe/Brussels')::BIGINT AS utc, strftime(make_timestamp(dep_time * 1000000), '%Y-%m-%d_%H') AS hour FROM c"))
 def _(spark, d):
     local = F.timestamp_seconds("dep_time")
-    return derive.connections(spark, d).where("dep_time < 1704100000").select("conn_id", F.unix_timestamp(parsers.local_to_utc(local, "Europe/Brussels")).alias("utc"), F.date_format(local, "yyyy-MM-dd_HH").alias("hour"))
+    return derive.connections(spark, d).select("conn_id", F.unix_timestamp(parsers.local_to_utc(local, "Europe/Brussels")).alias("utc"), F.date_format(local, "yyyy-MM-dd_HH").alias("hour"))
 
 
 @query("fn_file_name", "SELECT p_partkey AS k, regexp_replace(concat(p_name, '/', p_type, ':', p_size, '?'), '[\\\\/:*?\"<>|]', '_', 'g') AS name FROM part")
@@ -921,7 +921,23 @@ def _(spark, d):
     return sinks.connections_table(snapshot(spark, d)).withColumn("mode", F.col("mode").cast("int"))
 
 
-@query("snk_06_tile_features", None)
+def _tiles_sql(low: int, high: int) -> str:
+    """Stops in their tiles; lines in those they cross: per column of tiles, the rows between where the line enters and leaves it."""
+    at = lambda p: f"({p}_lon + 180.0) / 360.0 * n AS {p}_x, (1.0 - ln(tan(radians({p}_lat)) + 1.0 / cos(radians({p}_lat))) / pi()) / 2.0 * n AS {p}_y"
+    y = lambda edge: f"CASE WHEN b_x = a_x THEN NULL ELSE a_y + ({edge} - a_x) / (b_x - a_x) * (b_y - a_y) END"
+    return sql(
+        """SELECT DISTINCT 'routes' AS layer, zoom, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, feature, properties FROM (SELECT *, unnest(range(CAST(floor(least(y0, y1)) AS BIGINT), CAST(floor(greatest(y0, y1)) AS BIGINT) + 1)) AS y FROM cols) q
+UNION ALL SELECT 'stops', zoom, CAST(floor(a_x) AS INTEGER), CAST(floor(a_y) AS INTEGER), stop_id, properties FROM pt""",
+        f"z AS (SELECT CAST(zoom AS INTEGER) AS zoom, CAST(pow(2, zoom) AS DOUBLE) AS n FROM range({low}, {high + 1}) r(zoom))",
+        "es AS (SELECT dep_stop, arr_stop, count(DISTINCT operator_id) AS n_operators, count(DISTINCT route_type) AS n_route_types, count(DISTINCT route) AS n_routes FROM c JOIN tr USING (trip_id) GROUP BY dep_stop, arr_stop)",
+        f"ln AS MATERIALIZED (SELECT zoom, concat(dep_stop, '>', arr_stop) AS feature, concat('{{\"n_operators\":', n_operators, ',\"n_route_types\":', n_route_types, ',\"n_routes\":', n_routes, '}}') AS properties, {at('a')}, {at('b')} FROM (SELECT es.*, a.lon AS a_lon, a.lat AS a_lat, b.lon AS b_lon, b.lat AS b_lat FROM es JOIN st a ON a.stop_id = dep_stop JOIN st b ON b.stop_id = arr_stop) e, z)",
+        f"cols AS (SELECT zoom, feature, properties, x, coalesce(CASE WHEN x <= least(a_x, b_x) THEN CASE WHEN a_x <= b_x THEN a_y ELSE b_y END ELSE {y('x')} END, a_y) AS y0, coalesce(CASE WHEN x + 1 >= greatest(a_x, b_x) THEN CASE WHEN a_x <= b_x THEN b_y ELSE a_y END ELSE {y('x + 1')} END, b_y) AS y1 FROM (SELECT *, unnest(range(CAST(floor(least(a_x, b_x)) AS BIGINT), CAST(floor(greatest(a_x, b_x)) AS BIGINT) + 1)) AS x FROM ln) l)",
+        "ss AS (SELECT s AS stop_id, count(DISTINCT route) AS n_routes, count(DISTINCT operator_id) AS n_operators, CAST(sum(1 - o) AS BIGINT) AS arrivals, CAST(sum(o) AS BIGINT) AS departures FROM (SELECT dep_stop AS s, 1 AS o, * FROM c JOIN tr USING (trip_id) UNION ALL SELECT arr_stop, 0, * FROM c JOIN tr USING (trip_id)) u GROUP BY s)",
+        f"pt AS MATERIALIZED (SELECT zoom, stop_id, concat('{{\"n_routes\":', n_routes, ',\"n_operators\":', n_operators, ',\"arrivals\":', arrivals, ',\"departures\":', departures, '}}') AS properties, {at('a')} FROM (SELECT ss.*, lon AS a_lon, lat AS a_lat FROM ss JOIN st USING (stop_id)) s, z)",
+    )
+
+
+@query("snk_06_tile_features", _tiles_sql(10, 14))
 def _(spark, d):
     return sinks.tile_features(snapshot(spark, d), 10, 14)
 
@@ -931,7 +947,8 @@ def _(spark, d):
     return sinks.map_relations(snapshot(spark, d))
 
 
-@query("snk_08_geojson_journey", None)
+@query("snk_08_geojson_journey", sql("""SELECT CAST(0 AS INTEGER) AS query_id, CAST(jid AS INTEGER) AS journey_id, concat('{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"LineString","coordinates":[', string_agg(concat('[', CAST(lon AS VARCHAR), ',', CAST(lat AS VARCHAR), ']'), ',' ORDER BY pos), ']},"properties":{"stops":', count(*), '}}]}') AS geojson
+ FROM (SELECT jid, -1 AS pos, arg_min(dep_stop, (dep_time, conn_id)) AS s FROM wk GROUP BY jid UNION ALL SELECT jid, row_number() OVER (PARTITION BY jid ORDER BY dep_time, conn_id) - 1, arr_stop FROM wk) p JOIN st ON st.stop_id = p.s GROUP BY jid""", WEEKS))
 def _(spark, d):
     return journeys.to_geojson(week_journeys(spark, d), derive.stops(spark, d))
 
@@ -963,10 +980,18 @@ def _(spark, d):
     return store.latest().connections.select("conn_id", "dep_time")
 
 
-@query("str_01_update_time_frame", "SELECT * FROM (VALUES (CAST(500 AS BIGINT), CAST(1000 AS BIGINT)), (2000, 2500), (3000, 3500)) v(start_time, end_time)")
+#: Days from the start of the journeys' window.
+DAY = 86400
+
+
+@query("str_01_update_time_frame", sql(f"SELECT {CONN} FROM c WHERE (dep_time >= {START} AND dep_time < {START + DAY}) OR (dep_time >= {START + 3 * DAY} AND dep_time < {START + 4 * DAY})"))
 def _(spark, d):
-    updater = refresh.Updater(snapshots.Store(spark, _scratch(spark, "store")), None, [(1000, 1500), (1400, 2000), (2500, 3000)])
-    return spark.createDataFrame(updater.gaps(500, 3500), "start_time bigint, end_time bigint")
+    # Of four days two are loaded: only the gaps are fetched.
+    own = derive.connections(spark, d)
+    load = lambda writer, a, b: writer.add("connections", own.where((F.col("dep_time") >= a) & (F.col("dep_time") < b)))
+    updater = refresh.Updater(snapshots.Store(spark, _scratch(spark, "store")), load, [(START + DAY, START + 2 * DAY), (START + 2 * DAY - 500, START + 3 * DAY)])
+    updater.update(START, START + 4 * DAY)
+    return conns(updater.store.latest().connections)
 
 
 @query("src_21_snapshot_round_trip", sql(f"SELECT {CONN} FROM c"))
@@ -1014,3 +1039,6 @@ def _(spark, d):
 @query("str_departures_by_window", sql("SELECT dep_time - dep_time % 900 AS start_time, dep_stop, count(*) AS departures FROM c GROUP BY dep_time - dep_time % 900, dep_stop"))
 def _(spark, d):
     return refresh.windowed_departures(derive.connections(spark, d))
+
+
+from . import more_queries  # noqa: E402, F401 - adds its queries

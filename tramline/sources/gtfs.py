@@ -32,9 +32,13 @@ class Settings:
     translations: dict[str, str] = field(default_factory=dict)
 
 
-def read_feed(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of an unpacked feed folder; those the standard lets be absent are empty."""
-    read = lambda name: spark.read.csv(f"{path}/{name}.txt", header=True, escape='"', multiLine=True)
+#: Files whose texts may hold line breaks: small ones, since such a file is read by one task. The others are split.
+MULTI_LINE = ("agency", "stops", "routes")
+
+
+def read_feed(spark: SparkSession, path: str, multi_line: tuple[str, ...] = MULTI_LINE) -> dict[str, DataFrame]:
+    """The tables of an unpacked feed folder; those the standard lets be absent are empty. multi_line: files with quoted line breaks."""
+    read = lambda name: spark.read.csv(f"{path}/{name}.txt", header=True, escape='"', multiLine=name in multi_line)
     found = {}
     for name in FILES:
         if exists(spark, f"{path}/{name}.txt"):

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
-import os
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import Snapshot, create_mode
+from ..storage import write_text
 
 _TEXT = T.StringType()
 PAGE = T.StructType([T.StructField("@id", _TEXT), T.StructField("hydra:next", _TEXT), T.StructField("hydra:previous", _TEXT), T.StructField("@graph", T.ArrayType(T.StructType([
@@ -143,20 +144,27 @@ def _time_of(uri: str) -> datetime:
     return datetime.fromisoformat(uri.split("departureTime=")[1].split("&")[0].replace("Z", "+00:00"))
 
 
-def download_pages(base: str, start: datetime, end: datetime, folder: str, downloader: Downloader | None = None) -> tuple[int, int]:
-    """Writes changed pages to a folder of the driver's disk or a mounted store; returns pages (loaded, reused)."""
+def download_pages(spark: SparkSession, base: str, start: datetime, end: datetime, folder: str, downloader: Downloader | None = None) -> tuple[int, int]:
+    """Writes changed pages to a folder of any store that Spark knows; returns pages (loaded, reused)."""
     loaded = reused = 0
-    os.makedirs(folder, exist_ok=True)
     for uri, text, unchanged in crawl(base, start, end, downloader or Downloader()):
         if unchanged:
             reused += 1
             continue
         loaded += 1
-        with open(f"{folder}/{_time_of(uri).strftime('%Y%m%dT%H%M')}.json", "w", encoding="utf-8") as f:
-            f.write(text)
+        write_text(spark, f"{folder}/{_time_of(uri).strftime('%Y%m%dT%H%M')}.json", text)
     return loaded, reused
 
 
+def use_linked_connections(spark: SparkSession, connections: str, locations_uri: str, start: datetime, end: datetime, folder: str, downloader: Downloader | None = None) -> Snapshot:
+    """Downloads the pages of a window and the locations to a folder, and reads them. The snapshot names where they came from."""
+    loader = downloader or Downloader()
+    download_pages(spark, connections, start, end, f"{folder}/pages", loader)
+    write_text(spark, f"{folder}/locations.json", loader.load(locations_uri)[0])
+    snap = read_linked_connections(spark, f"{folder}/pages", f"{folder}/locations.json", int(start.timestamp()), int(end.timestamp()), connections)
+    return replace(snap, meta={"source": connections, "locations": locations_uri})
+
+
 def read_linked_connections(spark: SparkSession, pages: str, stops: str, start: int, end: int, uri: str = "") -> Snapshot:
     """The snapshot of downloaded pages and locations for departures in [start, end)."""
     places = locations(spark, stops)

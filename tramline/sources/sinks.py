@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import bounding_box, tile_of
+from ..functions.geo import bounding_box
 from ..model import Snapshot
 from ..operators.aggregates import attribute_keys, edge_stats, relation_members, route_merge, stop_stats, trip_routes
 
@@ -52,18 +53,30 @@ def routes_of_trips(snap: Snapshot) -> DataFrame:
 
 
 def tile_features(snap: Snapshot, low: int, high: int) -> DataFrame:
-    """(layer, zoom, x, y, feature, properties): a feature for each pair of stops and each stop, in the tiles of its ends. Tiles are not encoded here."""
+    """(layer, zoom, x, y, feature, properties): each pair of stops in all tiles that the line between them crosses, each stop in its own. Tiles are not encoded here."""
     place = snap.stops.select("stop_id", "lon", "lat")
-    ends = lambda e: place.select(F.col("stop_id").alias(f"{e}_stop"), F.col("lon").alias(f"{e}_lon"), F.col("lat").alias(f"{e}_lat"))
-    pairs = edge_stats(snap).join(ends("dep"), "dep_stop").join(ends("arr"), "arr_stop")
-    lines = pairs.select(F.lit("routes").alias("layer"), F.concat("dep_stop", F.lit(">"), "arr_stop").alias("feature"), F.to_json(F.struct("n_operators", "n_route_types", "n_routes")).alias("properties"), F.explode(F.array(F.struct(F.col("dep_lon").alias("lon"), F.col("dep_lat").alias("lat")), F.struct(F.col("arr_lon").alias("lon"), F.col("arr_lat").alias("lat")))).alias("p"))
-    points = stop_stats(snap).join(place, "stop_id").select(F.lit("stops").alias("layer"), F.col("stop_id").alias("feature"), F.to_json(F.struct("n_routes", "n_operators", "arrivals", "departures")).alias("properties"), F.struct("lon", "lat").alias("p"))
-    tiles = None
-    for zoom in range(low, high + 1):
-        x, y = tile_of(F.col("p.lon"), F.col("p.lat"), zoom)
-        one = lines.unionByName(points).select("layer", F.lit(zoom).alias("zoom"), x.alias("x"), y.alias("y"), "feature", "properties").distinct()
-        tiles = one if tiles is None else tiles.unionByName(one)
-    return tiles
+    n = F.pow(F.lit(2.0), "zoom")
+
+    def at(p: str) -> list[Column]:
+        """Place of a point in tiles."""
+        rad = F.radians(f"{p}_lat")
+        return [((F.col(f"{p}_lon") + 180.0) / 360.0 * n).alias(f"{p}x"), ((1.0 - F.log(F.tan(rad) + 1.0 / F.cos(rad)) / math.pi) / 2.0 * n).alias(f"{p}y")]
+
+    zooms = F.explode(F.sequence(F.lit(low), F.lit(high))).alias("zoom")
+    end = lambda stop, p: place.select(F.col("stop_id").alias(stop), F.col("lon").alias(f"{p}_lon"), F.col("lat").alias(f"{p}_lat"))
+    pairs = edge_stats(snap).join(end("dep_stop", "a"), "dep_stop").join(end("arr_stop", "b"), "arr_stop").select("*", zooms)
+    lines = pairs.select(F.lit("routes").alias("layer"), "zoom", F.concat("dep_stop", F.lit(">"), "arr_stop").alias("feature"), F.to_json(F.struct("n_operators", "n_route_types", "n_routes")).alias("properties"), *at("a"), *at("b"))
+    span = lambda a, b: F.sequence(F.floor(F.least(a, b)), F.floor(F.greatest(a, b)))
+    # In each column of tiles, the rows between where the line enters and where it leaves.
+    lines = lines.withColumn("x", F.explode(span(F.col("ax"), F.col("bx"))))
+    flat = F.col("ax") == F.col("bx")
+    y = lambda edge: F.when(~flat, F.col("ay") + (edge - F.col("ax")) / F.nullif(F.col("bx") - F.col("ax"), F.lit(0.0)) * (F.col("by") - F.col("ay")))
+    enters = F.coalesce(F.when(F.col("x") <= F.least("ax", "bx"), F.when(F.col("ax") <= F.col("bx"), F.col("ay")).otherwise(F.col("by"))).otherwise(y(F.col("x"))), F.col("ay"))
+    leaves = F.coalesce(F.when(F.col("x") + 1 >= F.greatest("ax", "bx"), F.when(F.col("ax") <= F.col("bx"), F.col("by")).otherwise(F.col("ay"))).otherwise(y(F.col("x") + 1)), F.col("by"))
+    crossed = lines.withColumn("y", F.explode(span(enters, leaves))).select("layer", "zoom", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "feature", "properties").distinct()
+    own = stop_stats(snap).join(end("stop_id", "a"), "stop_id").select("*", zooms)
+    points = own.select(F.lit("stops").alias("layer"), "zoom", F.col("stop_id").alias("feature"), F.to_json(F.struct("n_routes", "n_operators", "arrivals", "departures")).alias("properties"), *at("a"))
+    return crossed.unionByName(points.select("layer", "zoom", F.floor("ax").cast("int").alias("x"), F.floor("ay").cast("int").alias("y"), "feature", "properties"))
 
 
 def tile_manifest(snap: Snapshot, name: str, low: int, high: int) -> str:
