@@ -170,7 +170,7 @@ def shared_counts(lists: list[np.ndarray], most: int = 1 << 24) -> np.ndarray:
     keep = shared[column]
     where, column = where[keep], (np.cumsum(shared) - 1)[column[keep]]
     out = np.zeros((len(lists), len(lists)))
-    width = max(1, most // len(lists))
+    width = max(1, min(most // max(1, len(lists)), int(shared.sum())))
     for at in range(0, int(shared.sum()), width):
         a, b = np.searchsorted(column, [at, at + width])
         part = np.zeros((len(lists), width), np.float32)
