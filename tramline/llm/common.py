@@ -78,7 +78,14 @@ def stored(df: DataFrame, name: str = "table", partition_by: str | None = None)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_path = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a stored table that nothing reads any more, before the session ends."""
+    remove_path(df.sparkSession, df.stored_path)
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ Repeats of PASSAGE bytes or more are reported too, and stay: the same suffix arr
 1. Windows of PASSAGE bytes are dealt out by content: a window's anchor is the 32-byte gram of least hash in it, so equal windows have
    equal anchors wherever they stand. The windows in a row that share an anchor are one context: the bytes from its first window's
    start up to LENGTH bytes past its last one's, or to the text's end. An anchor that stands once has no repeats.
-2. Contexts alike are counted; those that stand twice are repeats whole. One row of each context of an anchor with others goes on.
+2. Of the others, contexts alike are counted; those that stand twice are repeats whole. One row of each context of an anchor with others goes on.
 3. Anchors are dealt to shards of some megabytes. In each, a suffix array of the contexts is built by Larsson-Sadakane refinement, and
    Kasai's pass gives common prefixes with the window before in its order: LENGTH or more (PASSAGE or more) marks both windows.
 4. An anchor with more contexts than a shard holds is spread over several. Each sends the sorted digests of its windows, cut in
@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_shuffles, row_keys, stored
+from .common import discard, release_shuffles, row_keys, stored
 from .kernels import INVERSE, PIECE, U, merged_runs, mix, powers, prefix_sums, span_hashes, text_pieces
 
 LENGTH, GRAM = 400, 32
@@ -346,7 +346,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE,
     Texts move twice, dealt by id and text: to cut the contexts that shards need, and to cut out what repeats. passage is at most length.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", "text", *row_keys("id"))
-    runs = stored(context_rows(rows, length, passage, piece), "contexts")
+    every = stored(context_rows(rows, length, passage, piece), "contexts")
+    # Most anchors stand once: their contexts go no further.
+    several = every.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    runs = stored(every.join(several, "key", "left_semi"), "shared-contexts")
+    discard(every)
+    release_shuffles(docs.sparkSession)
     seen = runs.groupBy("key", "c1").agg(F.count("*").alias("n"), F.min_by(F.struct("k2", "start", "windows", "bytes"), "k1").alias("at"), F.min("k1").alias("k1"))
     seen = stored(seen.select("key", "c1", "n", "k1", "at.*"), "distinct-contexts")
     keys = seen.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once"), F.sum(F.col("bytes").cast("long")).alias("size")).where("m > 1 AND once > 0").select("key", "size")
