@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import re
 import tempfile
 import uuid
@@ -71,12 +70,21 @@ def remove_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(clean)
 
 
+#: Lets a write drop its shuffle files when it is done: what it wrote is read instead, and nothing reads them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read back: lineage ends here, and any executor can be lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     remove_at_exit(spark, path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_path = path
@@ -88,12 +96,6 @@ def discard(df: DataFrame) -> None:
     remove_path(df.sparkSession, df.stored_path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets the cleaner drop the shuffle files of finished writes now: it learns of them when the driver collects garbage, which may be long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def row_keys(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
     """128 bits naming a row by its id and text. Rows alike in both share a key, and share every result."""
     return (

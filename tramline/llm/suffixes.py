@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, release_shuffles, row_keys, stored
+from .common import discard, row_keys, stored
 from .kernels import INVERSE, PIECE, U, merged_runs, mix, powers, prefix_sums, span_hashes, text_pieces
 
 LENGTH, GRAM = 400, 32
@@ -348,15 +348,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE,
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", "text", *row_keys("id"))
     every = stored(context_rows(rows, length, passage, piece), "contexts")
     # Most anchors stand once: their contexts go no further.
-    several = every.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    several = stored(every.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "anchors-with-others")
     runs = stored(every.join(several, "key", "left_semi"), "shared-contexts")
     discard(every)
-    release_shuffles(docs.sparkSession)
     seen = runs.groupBy("key", "c1").agg(F.count("*").alias("n"), F.min_by(F.struct("k2", "start", "windows", "bytes"), "k1").alias("at"), F.min("k1").alias("k1"))
     seen = stored(seen.select("key", "c1", "n", "k1", "at.*"), "distinct-contexts")
     keys = seen.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once"), F.sum(F.col("bytes").cast("long")).alias("size")).where("m > 1 AND once > 0").select("key", "size")
     keys = stored(keys, "anchors")
-    release_shuffles(docs.sparkSession)
     shards = max(1, -(-int(keys.where(F.col("size") <= shard).agg(F.sum("size")).first()[0] or 0) // shard))
     wanted = seen.join(keys, "key").groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "c1", "n", "start", "windows", "bytes", "size")).alias("cut"))
 
@@ -377,7 +375,6 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE,
     parts = parts.withColumn("parts", count).withColumn("sub", F.when(spread, F.pmod(F.xxhash64("c1"), count)).otherwise(-1).cast("int"))
     parts = parts.withColumn("shard", F.when(spread, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(shards))))
     found = stored(parts.groupBy("shard", "sub").applyInArrow(lambda table: shard_repeats(table, length, passage), FOUND), "repeats")
-    release_shuffles(docs.sparkSession)
     merged = found.where("key IS NOT NULL").select("key", "kind", "part", "sub", "digests", "checks", "places").groupBy("key", "kind", "part").applyInArrow(lambda table: merge_ranges(table, length, passage), SPANS)
     # Contexts that stand twice repeat whole: all windows of passage bytes, and of length bytes those that do not reach past the text.
     twice = runs.join(seen.where("n > 1").select("key", "c1"), ["key", "c1"], "left_semi")
