@@ -67,8 +67,8 @@ def numbered(rows: DataFrame, column: str, order: Sequence[str | Column], name:
 
 
 def window_union(windows: DataFrame) -> DataFrame:
-    """Overlapping or touching windows as one. A window is new where it starts after all before it have ended."""
-    rows = ranged(windows.select("start_time", "end_time"), "start_time")
+    """Overlapping or touching windows as one. A window is new where it starts after all before it have ended; windows alike count once."""
+    rows = ranged(windows.select("start_time", "end_time").distinct(), "start_time")
     upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ends = rows.groupBy("range").agg(F.max("end_time").alias("most")).select("range", F.max("most").over(upto).alias("reached"))
     inner = Window.partitionBy("range").orderBy("start_time", "end_time")

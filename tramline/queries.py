@@ -668,7 +668,7 @@ def _(spark, d):
     return sets.upsert(own, older.unionByName(newer).where(late != 0), "conn_id").select("conn_id", "dep_time")
 
 
-LOADED = "SELECT CAST(l_orderkey * 1000 AS BIGINT) AS s, CAST(l_orderkey * 1000 + l_quantity * 60 AS BIGINT) AS e FROM lineitem"
+LOADED = "SELECT DISTINCT CAST(l_orderkey * 1000 AS BIGINT) AS s, CAST(l_orderkey * 1000 + l_quantity * 60 AS BIGINT) AS e FROM lineitem"
 ISLANDS = f"ld AS MATERIALIZED ({LOADED}), isl AS MATERIALIZED (SELECT min(s) AS start_time, max(e) AS end_time FROM (SELECT *, sum(fresh) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN s <= max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM ld) x) y GROUP BY g)"
 
 

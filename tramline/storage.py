@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where the session names none, one machine's own folder does only if that machine runs all tasks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -56,6 +59,12 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """df written as Parquet to the shared folder and read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # The write's shuffle files go when it is done: what it wrote is read instead.
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _remove_later(spark, path)
     return spark.read.schema(df.schema).parquet(path)
