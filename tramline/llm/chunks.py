@@ -1,7 +1,8 @@
 """Substring dedup by content-defined chunks.
 
-A gear rolling hash over the last 32 bytes cuts each text where its top bits are zero, so that cuts move with the content and an insertion
-changes the chunks around it only. Chunks are named by digest. A chunk whose digest stands elsewhere is a repeat; runs of
+A gear rolling hash over the last 16 bytes cuts each text where it is greater than at the REACH places on either side, so that a
+cut depends on the bytes near it only, two copies fall into step at once, and an insertion changes the chunks around it only. Chunks are
+named by digest. A chunk whose digest stands elsewhere is a repeat; runs of
 repeats are removed where they are at least least bytes long or a whole text, but for each chunk's first place in the order of keys.
 
 Defined results: a null or empty text has no chunks and nothing removed; rows alike in id and text are one document counted as often as it
@@ -22,41 +23,49 @@ from pyspark.sql import functions as F
 from .common import row_keys
 from .kernels import U, merged_runs, mix, span_hashes, text_pieces
 
-#: Sizes of chunks in bytes: the least, the most, and the bits that must be zero at a cut (so 2 ** BITS bytes more than the least on average).
-LEAST, MOST, BITS = 32, 512, 5
+#: Places on either side of a cut where the hash must not be greater: chunks, but the last of a text, have more bytes than this, and 2 * REACH + 1 on average. MOST bytes without such a place are cut.
+REACH, MOST = 24, 512
 #: Bytes of repeated chunks in a row before they count as a repeated passage.
 PASSAGE = 130
 GEAR = (mix(np.arange(1, 257, dtype=U)) >> U(32)).astype(np.uint32)
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """At each byte, the gear hash of the 32 bytes that end there: the sum of the bytes' gears, each shifted by its age."""
+    """At each byte, the gear hash of the 16 bytes that end there: the sum of the bytes' gears, each shifted by twice its age."""
     h = GEAR[data]
-    for k in (1, 2, 4, 8, 16):
-        h[k:] += h[:-k] << np.uint32(k)
+    for k in (1, 2, 4, 8):
+        h[k:] += h[:-k] << np.uint32(2 * k)
     return h
 
 
+def greatest_ahead(x: np.ndarray, n: int) -> np.ndarray:
+    """The greatest of x[i : i + n] for each i that has n values."""
+    size = 1
+    while 2 * size <= n:
+        x = np.maximum(x[:-size], x[size:])
+        size *= 2
+    return np.maximum(x[: len(x) - n + size], x[n - size :])
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of all chunks, and for each text how many it has. A chunk ends at the first candidate past LEAST bytes, at MOST, or with its text."""
+    """Ends of all chunks, and for each text how many it has. The first REACH bytes of a text end no chunk, so that no text sees its neighbours."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-    places = np.flatnonzero(gear_hashes(data) >> np.uint32(32 - BITS) == 0) + 1
-    ends: list[int] = []
-    counts = []
-    first = np.searchsorted(places, offsets).tolist()
-    listed = places.tolist()
-    for k, (start, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-        before, j, last = len(ends), first[k], first[k + 1]
-        at = start
-        while at < end:
-            least, stop = at + LEAST, min(at + MOST, end)
-            while j < last and listed[j] < least:
-                j += 1
-            at = listed[j] if j < last and listed[j] < stop else stop
-            ends.append(at)
-        counts.append(len(ends) - before)
-    return np.array(ends, np.int64), np.array(counts, np.int64)
+    scores = np.zeros(len(data) + 2 * REACH, np.uint32)
+    own = scores[REACH:-REACH]
+    own[:] = gear_hashes(data) | np.uint32(1)
+    for k in range(REACH):
+        early = offsets[:-1] + k
+        own[early[early < offsets[1:]]] = 0
+    peaks = greatest_ahead(scores, REACH)
+    places = np.flatnonzero((own > peaks[: len(own)]) & (own >= peaks[REACH + 1 :])) + 1
+    bounds = np.union1d(places, offsets[1:])
+    bounds = bounds[bounds > 0]
+    starts = np.concatenate([[0], bounds[:-1]])
+    pieces = (bounds - starts + MOST - 1) // MOST
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces) + 1
+    ends = np.minimum(np.repeat(starts, pieces) + nth * MOST, np.repeat(bounds, pieces)).astype(np.int64)
+    return ends, np.diff(np.searchsorted(ends, offsets, "right"))
 
 
 CHUNKS = "k1 long, k2 long, d1 long, d2 long, start int, length int, fresh boolean"
