@@ -16,9 +16,12 @@ def chunk(raw):
         for age in range(16):
             h += int(chunks.GEAR[raw[i - age]]) << (2 * age) if i >= age else 0
         scores.append((h & 0xFFFFFFFF) | 1 if i >= chunks.REACH else 0)
-    out, at = [], 0
+    out, at, last = [], 0, 0
     for i, x in enumerate(scores):
-        top = x and x > max(scores[max(0, i - chunks.REACH) : i]) and x >= max(scores[i + 1 : i + 1 + chunks.REACH], default=0)
+        before = max(scores[max(0, i - chunks.REACH) : i], default=0)
+        level = x and x >= before and x >= max(scores[i + 1 : i + 1 + chunks.REACH], default=0)
+        top = level and (x > before or i + 1 - last > chunks.REACH)
+        last = i + 1 if top else last
         if top or i + 1 - at == chunks.MOST or i + 1 == len(raw):
             out.append(raw[at : i + 1])
             at = i + 1
@@ -38,7 +41,7 @@ def rows():
         if d % 9 == 0:
             own += passage
         out.append((d, own))
-    return out + [(900, None), (901, ""), (902, "x" * 9000), (903, out[8][1]), (904, out[9][1]), (None, out[12][1]), (905, "中" * 70000 + passage)]
+    return out + [(900, None), (901, ""), (902, "x" * 9000), (906, "spam word " * 300), (907, own[:99] + "spam word " * 60), (903, out[8][1]), (904, out[9][1]), (None, out[12][1]), (905, "中" * 70000 + passage)]
 
 
 def test_chunks(spark, rows):
@@ -72,6 +75,7 @@ def test_chunks(spark, rows):
         assert (r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(raw) - len(kept), spans, brute.sha(kept))
     assert out[903]["n_repeated"] == out[903]["n_bytes"]
     assert sum(out[d]["has_repeat"] for d in range(0, 60, 4)) == 15
+    assert out[906]["n_removed"] > 2900 and out[907]["n_removed"] > 500
     assert sorted(out[d]["n_removed"] for d in (None, 12))[1] > 0
 
 

@@ -1,8 +1,8 @@
 """Substring dedup by content-defined chunks.
 
 A gear rolling hash over the last 16 bytes cuts each text where it is greater than at the REACH places on either side, so that a
-cut depends on the bytes near it only, two copies fall into step at once, and an insertion changes the chunks around it only. Chunks are
-named by digest. A chunk whose digest stands elsewhere is a repeat; runs of
+cut depends on the bytes near it only, two copies fall into step at once, and an insertion changes the chunks around it only. A stretch that
+repeats one word is cut where the hash is as great as nearby, more than REACH bytes apart, into chunks alike. Chunks are named by digest. A chunk whose digest stands elsewhere is a repeat; runs of
 repeats are removed where they are at least least bytes long or a whole text, but for each chunk's first place in the order of keys.
 
 Defined results: a null or empty text has no chunks and nothing removed; rows alike in id and text are one document counted as often as it
@@ -58,8 +58,15 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         early = offsets[:-1] + k
         own[early[early < offsets[1:]]] = 0
     peaks = greatest_ahead(scores, REACH)
-    places = np.flatnonzero((own > peaks[: len(own)]) & (own >= peaks[REACH + 1 :])) + 1
-    bounds = np.union1d(places, offsets[1:])
+    before, level = peaks[: len(own)], (own >= peaks[REACH + 1 :]) & (own > 0)
+    bounds = np.union1d(np.flatnonzero(level & (own > before)) + 1, offsets)
+    ties = np.flatnonzero(level & (own == before)) + 1
+    last, taken = 0, []
+    for tie, bound in zip(ties.tolist(), bounds[np.searchsorted(bounds, ties) - 1].tolist()):
+        if tie - max(last, bound) > REACH:
+            taken.append(tie)
+            last = tie
+    bounds = np.union1d(bounds, np.array(taken, np.int64))
     bounds = bounds[bounds > 0]
     starts = np.concatenate([[0], bounds[:-1]])
     pieces = (bounds - starts + MOST - 1) // MOST
