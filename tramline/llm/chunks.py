@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_keys
+from .common import row_keys, stored
 from .kernels import U, merged_runs, mix, span_hashes, text_pieces
 
 #: Places on either side of a cut where the hash must not be greater: chunks, but the last of a text, have more bytes than this, and 2 * REACH + 1 on average. MOST bytes without such a place are cut.
 REACH, MOST = 24, 512
 #: Bytes of repeated chunks in a row before they count as a repeated passage.
 PASSAGE = 130
+#: A digest is common that has more than one in this many of the repeated chunks.
+OFTEN = 1024
 GEAR = (mix(np.arange(1, 257, dtype=U)) >> U(32)).astype(np.uint32)
 
 
@@ -104,12 +106,18 @@ def substring_dedup(docs: DataFrame, passage: int = PASSAGE, id_col: str = "doc_
     """Per row: id, n_bytes, n_chunks, n_repeated (bytes in repeated passages, the first places included), n_removed, n_spans, kept_sha256 and has_repeat.
 
     Only digests are shuffled to find repeats, counted where they are made before they are dealt out; chunks are cut once more to
-    meet the counts, which takes less than keeping them would. Texts move once, to be rid of it; a chunk's copies in one text are told apart by their place.
+    meet the counts, which takes less than keeping them would. Digests with more than one in OFTEN of all repeated chunks, so fewer than OFTEN, are
+    broadcast, and their chunks are dealt out by place: no digest fills one task. Texts move once, to be rid of it; a chunk's copies in one text are told apart by their place.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", "text", *row_keys("id"))
     chunks = chunk_rows(rows)
-    found = chunks.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("k1").alias("f1")).where("n > 1").drop("n")
-    places = chunks.join(found, ["d1", "d2"]).select("k1", "k2", F.struct("start", "length", (F.col("fresh") & (F.col("k1") == F.col("f1"))).alias("first")).alias("c"))
+    found = stored(chunks.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("k1").alias("f1")).where("n > 1"), "chunks")
+    total = found.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") > total / OFTEN
+    common = found.where(often).select("d1", "d2", F.col("f1").alias("common"))
+    dealt = chunks.join(F.broadcast(common), ["d1", "d2"], "left").withColumn("d2", F.when(F.col("common").isNotNull(), F.xxhash64("k1", "start")).otherwise(F.col("d2")))
+    met = dealt.join(found.where(~often).select("d1", "d2", "f1"), ["d1", "d2"], "left").withColumn("f1", F.coalesce("common", "f1")).where("f1 IS NOT NULL")
+    places = met.select("k1", "k2", F.struct("start", "length", (F.col("fresh") & (F.col("k1") == F.col("f1"))).alias("first")).alias("c"))
     per_text = places.groupBy("k1", "k2").agg(F.collect_set("c").alias("repeats"))
     counts = rows.select("id", "text", "k1", "k2").join(per_text.hint("shuffle_hash"), ["k1", "k2"], "left")
 
