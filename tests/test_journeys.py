@@ -8,7 +8,7 @@ from tramline import derive
 from tramline.model import CONNECTIONS, OPERATORS, STOPS, TRIPS, Snapshot
 from tramline.operators import filters, journeys, pareto, walks
 from tramline.plans import kernel, rounds
-from tramline.plans.planner import InvalidRequest, Planner, Profile
+from tramline.plans.planner import InvalidRequest, Planner, Profile, plan
 
 SF = "/root/testdata/sf0.01"
 DAY = 1705276800
@@ -233,3 +233,52 @@ def test_empty_tables(spark):
     assert rounds.earliest_arrivals(none, origin(spark), DAY, DAY + 1).count() == 0
     assert rounds.latest_departures(none, origin(spark, "stop/0"), DAY, DAY + 1).count() == 1
     assert rounds.profiles(none, ["stop/0"], DAY, DAY + 1).count() == 0
+
+
+def crowd(stops=6, trips=60, seed=5):
+    """Trips of three hops each over a few stops, modes mixed, times in whole minutes so that many are alike."""
+    rnd = random.Random(seed)
+    rows = []
+    for t in range(trips):
+        at, stop = 60 * rnd.randrange(600), rnd.randrange(stops)
+        for _ in range(3):
+            to, took = rnd.choice([s for s in range(stops) if s != stop]), 60 * rnd.randrange(1, 30)
+            rows.append(row(len(rows), str(stop), str(to), at, took, t, rnd.choice([0, 0, 0, 1, 2, 3, 4])))
+            at, stop = at + took + 60 * rnd.randrange(5), to
+    return rows
+
+
+WALKS = [("1", "0", 240), ("2", "3", 120), ("3", "2", 120), ("4", "4", 180)]
+
+
+@pytest.mark.parametrize("options", [{}, {"max_vehicles": 2}, {"legacy_transfer": True}, {"keep": lambda dep, arr, vehicles: arr - dep < 6000}])
+def test_the_frontier_is_that_of_all_journeys(options):
+    for seed in range(8):
+        table = kernel.Timetable.of(crowd(seed=seed), WALKS)
+        ways = kernel.profile_scan(table, ["0"], 0, 40000, **options)
+        values = kernel.frontier_scan(table, ["0"], 0, 40000, **options)
+        assert values == {s: [(e.dep, e.arr, e.vehicles) for e in es] for s, es in ways.items()} and len(values) == 5
+
+
+def requests_to_zero(spark, stops, end):
+    return spark.createDataFrame([(k, [str(k)], ["0"], 1, end) for k in stops], "query_id int, from_stops array<string>, to_stops array<string>, start_time bigint, end_time bigint")
+
+
+@pytest.fixture(scope="module")
+def copies(spark):
+    """A timetable of 40 copies of four trips in a chain: 40 ** 4 equally good journeys from the first stop."""
+    rows = [(f"{i}/{c}", str(i), str(i - 1), 1000 * (9 - i), 500, 1000 * (9 - i) + 500, 0, f"trip/{i}/{c}", {}) for i in range(4, 0, -1) for c in range(40)]
+    made = spark.createDataFrame(rows, CONNECTIONS)
+    stops = spark.createDataFrame([(str(k), 3.0 + k, 51.0, None) for k in range(5)], STOPS)
+    return Snapshot(spark.createDataFrame([], OPERATORS), stops, spark.createDataFrame([], TRIPS), made)
+
+
+ALONG = {(k, 1000 * (9 - k), 8500, k) for k in range(1, 5)}
+
+
+@pytest.mark.parametrize("most_bytes", [None, 0])
+def test_equally_good_journeys_count_once(spark, copies, most_bytes):
+    # Spelled out, they are 2.6 million.
+    own = Planner(copies, Profile(walks=walks.InternalTransfer()))
+    found = plan(requests_to_zero(spark, range(1, 5), 9000), own, "frontier", most_bytes).collect()
+    assert {tuple(r) for r in found} == ALONG and len(found) == 4
