@@ -8,7 +8,7 @@ from tramline import derive
 from tramline.model import CONNECTIONS, OPERATORS, STOPS, TRIPS, Snapshot
 from tramline.operators import filters, journeys, pareto, walks
 from tramline.plans import kernel, rounds
-from tramline.plans.planner import InvalidRequest, Planner, Profile, plan
+from tramline.plans.planner import FRONTIER, InvalidRequest, Planner, Profile, _answer, plan
 
 SF = "/root/testdata/sf0.01"
 DAY = 1705276800
@@ -282,3 +282,32 @@ def test_equally_good_journeys_count_once(spark, copies, most_bytes):
     own = Planner(copies, Profile(walks=walks.InternalTransfer()))
     found = plan(requests_to_zero(spark, range(1, 5), 9000), own, "frontier", most_bytes).collect()
     assert {tuple(r) for r in found} == ALONG and len(found) == 4
+
+
+def counted(monkeypatch, *names):
+    """How often functions of the kernel are called."""
+    n = dict.fromkeys(names, 0)
+    for name in names:
+
+        def own(*args, name=name, f=getattr(kernel, name), **options):
+            n[name] += 1
+            return f(*args, **options)
+
+        monkeypatch.setattr(kernel, name, own)
+    return n
+
+
+def asks(froms, tos, end=40000):
+    return [{"query_id": k, "from_stops": [a], "to_stops": [b], "start_time": 1, "end_time": end} for k, (a, b) in enumerate((a, b) for a in froms for b in tos if a != b)]
+
+
+def test_requests_to_one_stop_share_the_scans_of_use(monkeypatch):
+    for seed in range(6):
+        table = kernel.Timetable.of(crowd(seed=seed), WALKS)
+        requests = asks("12345", "0")
+        whole = _answer(Profile(), "frontier", False, FRONTIER)(table, requests)
+        with monkeypatch.context() as m:
+            n = counted(m, "scan", "frontier_scan")
+            thin = _answer(Profile(), "frontier", True, FRONTIER)(table, requests)
+        assert thin.equals(whole) and n == {"scan": 2, "frontier_scan": 1}
+    assert not kernel.of_use(table, ["1"], ["0"], 1, 40000).all()
