@@ -311,3 +311,9 @@ def test_requests_to_one_stop_share_the_scans_of_use(monkeypatch):
             thin = _answer(Profile(), "frontier", True, FRONTIER)(table, requests)
         assert thin.equals(whole) and n == {"scan": 2, "frontier_scan": 1}
     assert not kernel.of_use(table, ["1"], ["0"], 1, 40000).all()
+
+
+def test_a_journey_filter_counts_equally_good_journeys_once(spark, copies):
+    own = Planner(copies, Profile(walks=walks.InternalTransfer(), journey_filter=lambda dep, arr, vehicles: vehicles <= 3))
+    found = plan(requests_to_zero(spark, range(1, 5), 9000), own, "frontier").collect()
+    assert {tuple(r) for r in found} == {x for x in ALONG if x[3] <= 3} and len(found) == 3
