@@ -317,3 +317,12 @@ def test_a_journey_filter_counts_equally_good_journeys_once(spark, copies):
     own = Planner(copies, Profile(walks=walks.InternalTransfer(), journey_filter=lambda dep, arr, vehicles: vehicles <= 3))
     found = plan(requests_to_zero(spark, range(1, 5), 9000), own, "frontier").collect()
     assert {tuple(r) for r in found} == {x for x in ALONG if x[3] <= 3} and len(found) == 3
+
+
+def test_requests_to_one_stop_share_one_frontier_scan(monkeypatch):
+    table = kernel.Timetable.of(crowd(trips=200), WALKS)
+    n = counted(monkeypatch, "frontier_scan", "profile_scan")
+    found = _answer(Profile(max_transfers=2), "frontier", False, FRONTIER)(table, asks("12345", "0")).to_pylist()
+    assert n == {"frontier_scan": 1, "profile_scan": 0}
+    every = {k: kernel.all_journeys(table, [str(k + 1)], ["0"], 1, 40000, max_vehicles=3) for k in range(5)}
+    assert {tuple(r.values())[:3] for r in found} == {(k, j[0][5], j[-1][6]) for k, js in every.items() for j in js} and found
