@@ -301,7 +301,7 @@ def asks(froms, tos, end=40000):
     return [{"query_id": k, "from_stops": [a], "to_stops": [b], "start_time": 1, "end_time": end} for k, (a, b) in enumerate((a, b) for a in froms for b in tos if a != b)]
 
 
-def test_requests_to_one_stop_share_the_scans_of_use(monkeypatch):
+def test_requests_to_one_stop_share_the_scans_of_use(spark, monkeypatch):
     for seed in range(6):
         table = kernel.Timetable.of(crowd(seed=seed), WALKS)
         requests = asks("12345", "0")
@@ -319,10 +319,24 @@ def test_a_journey_filter_counts_equally_good_journeys_once(spark, copies):
     assert {tuple(r) for r in found} == {x for x in ALONG if x[3] <= 3} and len(found) == 3
 
 
-def test_requests_to_one_stop_share_one_frontier_scan(monkeypatch):
+def test_requests_to_one_stop_share_one_frontier_scan(spark, monkeypatch):
     table = kernel.Timetable.of(crowd(trips=200), WALKS)
     n = counted(monkeypatch, "frontier_scan", "profile_scan")
     found = _answer(Profile(max_transfers=2), "frontier", False, FRONTIER)(table, asks("12345", "0")).to_pylist()
     assert n == {"frontier_scan": 1, "profile_scan": 0}
     every = {k: kernel.all_journeys(table, [str(k + 1)], ["0"], 1, 40000, max_vehicles=3) for k in range(5)}
     assert {tuple(r.values())[:3] for r in found} == {(k, j[0][5], j[-1][6]) for k, js in every.items() for j in js} and found
+
+
+def test_latest_departures_to_one_stop_take_one_scan(spark, monkeypatch):
+    for kind, froms, tos in (("latest", "12345", "0"), ("earliest", "0", "12345")):
+        alone = kernel.latest_departure if kind == "latest" else kernel.earliest_arrival
+        for seed in range(6):
+            table = kernel.Timetable.of(crowd(seed=seed), WALKS)
+            requests = asks(froms, tos)
+            wanted = [alone(table, r["from_stops"], r["to_stops"], 1, 40000) for r in requests]
+            with monkeypatch.context() as m:
+                n = counted(m, "scan")
+                found = _answer(Profile(), kind, False, "query_id int, journey_id int, legs array<struct<kind:string,conn_id:string,trip_id:string,from_stop:string,to_stop:string,dep:bigint,arr:bigint>>")(table, requests).to_pylist()
+            assert {r["query_id"]: [tuple(x.values()) for x in r["legs"]] for r in found} == {k: w for k, w in enumerate(wanted) if w is not None} and found
+            assert n == {"scan": 1} and table.mirrored() is table.mirrored()
